@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step works on; temporary arrays are some dozens of times as large.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 256 << 10
 #: Side tables up to this many bytes (measured, not estimated) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_BYTES = 24 << 20
 
@@ -71,6 +73,18 @@ class Scratch:
             pass
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """While jobs run in it, Python gets batches of so many rows at most: its memory, and what a batch settles by itself, grow with them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(min(rows, int(before or rows))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def small(df: DataFrame, scratch: Scratch, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df, a scratch table called name, marked for broadcast if its files (compressed, so a quarter of limit) are small."""
     return F.broadcast(df) if scratch.size(name) * 4 <= limit else df
@@ -95,6 +109,19 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def trim() -> None:
+    """Gives back to the system what numpy and Arrow have freed, so that a reused Python worker starts small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t), F.xxhash64(F.lit(1), t)]
+
+
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string column; nulls are empty."""
     if isinstance(array, pa.ChunkedArray):

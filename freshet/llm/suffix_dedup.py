@@ -21,17 +21,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, mix, others, pick, small, steps, utf8
+from .common import Scratch, arrow_rows, mix, others, pick, steps, trim, utf8
 
 MADE = ("text", "n_bytes", "n_removed", "n_spans", "kept")
 LAST = (1 << 63) - 1  # stands for a null id: none is smaller than it alone
-RESPONSE_BYTES = 192 << 20  # in memory; larger answers are joined by a shuffle
 U = np.uint64
+#: Bytes of text ranked at a time (the arrays stay in the processor's cache), and texts that Python holds at a time.
+STEP, BATCH = 192 << 10, 4000
+#: Entries in a row that is shuffled.
+PACKET = 4096
 
 
 def _pair(names: np.ndarray, offset: int, n: int) -> np.ndarray:
     """The rank of the string that the ranks at i and at i + offset cover."""
-    return mix(names[:n] * U(0x9E3779B97F4A7C15) + (names[offset : offset + n] ^ U(offset)))
+    out = names[:n] * U(0x9E3779B97F4A7C15)
+    out += names[offset : offset + n]
+    out ^= out >> U(29)  # one to one
+    return out
 
 
 def _sliding(x: np.ndarray, w: int, least: bool) -> np.ndarray:
@@ -109,19 +115,22 @@ class _Rounds:
         key = rb.column(1).to_numpy()
         first = np.sort(_first_of_copies(key))
         offsets, data = utf8(rb.column(0).take(pa.array(first)))
-        for a, b in steps(offsets):
+        for a, b in steps(offsets, STEP):
             yield Ranks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], self.length), first[a:b]
+        trim()
 
     def packed(self, columns: list[np.ndarray]):
-        """Rows (bucket, columns as bytes) of entries, dealt by the range of their first column, sorted."""
+        """Rows (bucket, columns as bytes) of entries, dealt by their first column, sorted. Representatives are least names, so it is their hash that is cut into even ranges."""
         step = U(((1 << 64) - 1) // self.buckets + 1)
         order = np.argsort(columns[0], kind="stable")
         columns = [c[order] for c in columns]
-        bucket = (columns[0] // step).astype(np.int64)
+        bucket = (mix(columns[0]) // step).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [c[order] for c in columns]
         edges = np.searchsorted(bucket, np.arange(self.buckets + 1))
-        rows = [(i, *[c[x:y].tobytes() for c in columns]) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
-        for a in range(0, len(rows), 128):
-            part = rows[a : a + 128]
+        rows = [(i, *[c[v : min(v + PACKET, y)].tobytes() for c in columns]) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])) for v in range(x, y, PACKET)]
+        for a in range(0, len(rows), 64):
+            part = rows[a : a + 64]
             arrays = [pa.array([r[0] for r in part], pa.int32()), *[pa.array([r[i] for r in part], pa.binary()) for i in range(1, len(columns) + 1)]]
             yield arrays
 
@@ -144,6 +153,7 @@ class _Rounds:
                 held.append(blobs)
         if held:
             yield flush()
+        trim()
 
 
 def _starts(sorted_names: np.ndarray) -> np.ndarray:
@@ -192,6 +202,11 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     """
     if length < 48:
         raise ValueError("length must be 48 or more")
+    with arrow_rows(df.sparkSession, BATCH):
+        return _dedup(df, text, doc_id, length)
+
+
+def _dedup(df: DataFrame, text: str, doc_id: str, length: int) -> DataFrame:
     scratch = Scratch(df.sparkSession)
     t = F.coalesce(pick(df, text, "string"), F.lit(""))
     key = F.xxhash64(t, F.octet_length(t))
@@ -271,7 +286,7 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                     out_key.append(text[where]), out_name.append(name[where]), out_state.append(np.full(where.sum(), state, np.int8))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_key, out_name, out_state)], names=["key", "name", "state"]).set_column(1, "name", pa.array(np.concatenate(out_name).view(np.int64)))
 
-    tagged = docs.select("t", "key").join(_near(tags, scratch, "tags"), "key").select("t", "key", "tag", "least")
+    tagged = docs.select("t", "key").join(tags, "key").select("t", "key", "tag", "least")
     states = _packets(tagged, rounds, second_make, second_gather, [U, U, np.int64, np.int64], "key long, name long, state byte", scratch, "round-2")
     states = states.groupBy("key").agg(F.collect_set(F.when(F.col("state") == 0, F.col("name"))).alias("lost"), F.collect_set(F.when(F.col("state") == 1, F.col("name"))).alias("open"))
     states = scratch.save(tags.join(states, "key").select("key", "tag", "least", "lost", "open"), "states")
@@ -311,60 +326,61 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)), pa.array(np.concatenate(p))], names=["key", "pos"])
 
     opened = scratch.save(states.where(F.size("open") > 0).select("key", "tag", "least", "open"), "opened")
-    opened = docs.select("t", "key").join(_near(opened, scratch, "opened"), "key").select("t", "key", "tag", "least", "open")
+    opened = docs.select("t", "key").join(opened, "key").select("t", "key", "tag", "least", "open")
     places = _packets(opened, rounds, third_make, third_gather, [U, np.int64, np.int64, np.int64], "key long, pos long", scratch, "round-3")
     verdict = owners.where("copies > 1").select("key", "least").join(states.where(F.size("lost") > 0).select("key", "tag", "lost"), "key", "full").join(places.groupBy("key").agg(F.collect_set("pos").alias("pos")), "key", "full")
     verdict = scratch.save(verdict.select("key", "least", F.when(F.size("lost") > 0, F.col("tag")).alias("tag"), "lost", "pos"), "verdict")
 
     keep = others(df, *MADE)
     dressed = df.select(t.alias("t"), key.alias("key"), F.coalesce(pick(df, doc_id, "bigint"), F.lit(LAST)).alias("id"), F.struct(*keep).alias("row") if keep else F.struct(F.lit(0)).alias("row"))
-    dressed = dressed.join(_near(verdict, scratch, "verdict"), "key", "left").select("t", "key", "tag", "lost", "pos", "least", "id", "row")
+    dressed = dressed.join(verdict, "key", "left").select("t", "key", "tag", "lost", "pos", "least", "id", "row")
 
     def finish(it):
         for rb in it:
-            kept, sizes, gone, spans = [], [], [], []
+            offsets, data = utf8(rb.column(0))
+            least, own = rb.column(5).to_pylist(), rb.column(6).to_pylist()
+            long = np.diff(offsets) >= length
+            copy = np.array([l is not None and i > l for l, i in zip(least, own)], bool) & long
+            look = np.flatnonzero(long & ~copy & np.array([x.is_valid and len(x) > 0 for x in rb.column(3)], bool))
+            covered: dict[int, list] = {int(i): [np.asarray(rb.column(4)[int(i)].as_py(), np.int64)] for i in np.flatnonzero(long & ~copy & np.array([x.is_valid for x in rb.column(4)], bool))}
+            if len(look):
+                o, d = utf8(rb.column(0).take(pa.array(look)))
+                for a, b in steps(o, STEP):
+                    ranks = Ranks(d[o[a] : o[b]], o[a : b + 1] - o[a], length)
+                    rows = look[a:b].tolist()
+                    _, name, row, win, count = _segments(ranks, k2, _tagged(ranks, k1, [rb.column(2)[i] for i in rows]))
+                    lost = _among(name, row, [rb.column(3)[i] for i in rows])
+                    at = _expand(win[lost], count[lost])
+                    r = ranks.row[at]
+                    cuts = np.searchsorted(r, np.arange(len(rows) + 1))
+                    for i, x, y in zip(rows, cuts[:-1], cuts[1:]):
+                        covered.setdefault(i, []).append(at[x:y] - ranks.offsets[r[x:y]])
+            kept, gone, spans = [], [], []
             for i in range(len(rb)):
-                data = (rb.column(0)[i].as_py() or "").encode()
-                least, here = rb.column(5)[i].as_py(), []
-                if len(data) >= length:
-                    if least is not None and rb.column(6)[i].as_py() > least:
-                        here = [(0, len(data))]
-                    elif rb.column(3)[i].is_valid or rb.column(4)[i].is_valid:
-                        covered = [np.asarray(rb.column(4)[i].as_py() or [], np.int64)]
-                        if rb.column(3)[i].is_valid and len(rb.column(3)[i]):
-                            ranks = Ranks(np.frombuffer(data, np.uint8), np.array([0, len(data)]), length)
-                            _, name, row, win, count = _segments(ranks, k2, _tagged(ranks, k1, [rb.column(2)[i]]))
-                            lost = _among(name, row, [rb.column(3)[i]])
-                            covered.append(_expand(win[lost], count[lost]))
-                        here = removed_spans(np.concatenate(covered).astype(np.int64), length, len(data)).tolist()
+                mine = data[offsets[i] : offsets[i + 1]]
+                here = [(0, len(mine))] if copy[i] else removed_spans(np.concatenate(covered[i]), length, len(mine)).tolist() if i in covered else []
                 at, out = 0, []
                 for a, b in here:
-                    out.append(data[at:a])
+                    out.append(mine[at:a].tobytes())
                     at = b
-                kept.append(b"".join([*out, data[at:]])), sizes.append(len(data)), gone.append(sum(b - a for a, b in here)), spans.append(len(here))
-            arrays = [rb.column(7), pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (sizes, gone, spans)], pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+                kept.append(b"".join([*out, mine[at:].tobytes()])), gone.append(sum(b - a for a, b in here)), spans.append(len(here))
+            arrays = [rb.column(7), pa.array(kept, pa.binary()), *[pa.array(x, pa.int64()) for x in (np.diff(offsets), gone, spans)], pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", "text", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = dressed.mapInArrow(finish, StructType([dressed.schema["row"], *StructType.fromDDL("text binary, n_bytes long, n_removed long, n_spans long, kept string").fields]))
     return out.select(*([F.col(f"row.`{c}`") for c in dressed.schema["row"].dataType.names] if keep else []), "text", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
 
 
-def _near(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    return small(df, scratch, name, RESPONSE_BYTES)
-
-
 def _tagged(ranks: Ranks, k: int, tags: list) -> np.ndarray:
     """Which windows have a representative whose 16-bit tag is in their row's list: all that another text may have."""
     rep, row = ranks.representatives(k), ranks.row[ranks.windows]
-    table = np.zeros((len(tags), 1 << 16), bool) if len(tags) <= 64 else None
-    mine = (rep & U(0xFFFF)).astype(np.int64)
-    if table is not None:
-        for i, t in enumerate(tags):
-            if t.is_valid:
-                table[i, np.asarray(t.values.to_numpy(zero_copy_only=False), np.int16).view(np.uint16)] = True
-        return table[row, mine]
-    lists = [np.asarray(t.values.to_numpy(zero_copy_only=False), np.int16).view(np.uint16).astype(np.int64) + (i << 16) for i, t in enumerate(tags) if t.is_valid]
-    return np.isin(mine + (row << 16), np.concatenate(lists) if lists else np.zeros(0, np.int64))
+    begin = _runs(rep, ranks.windows, row)
+    lists = [np.asarray(t.values.to_numpy(zero_copy_only=False), np.int16).view(np.uint16).astype(np.int64) + (i << 16) for i, t in enumerate(tags) if t.is_valid and len(t)]
+    if not lists or not len(begin):
+        return np.zeros(len(rep), bool)
+    known, mine = np.sort(np.concatenate(lists)), (rep[begin] & U(0xFFFF)).astype(np.int64) + (row[begin] << 16)
+    found = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+    return np.repeat(found, np.diff(np.append(begin, len(rep))))
 
 
 def _among(name: np.ndarray, row: np.ndarray, lists: list) -> np.ndarray:
