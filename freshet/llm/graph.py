@@ -15,6 +15,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
     written to the shared folder. An even number of hops shrinks to stars in a logarithmic number of rounds as a rule.
     """
     one = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    last = one.agg(mark).first()
     for i in range(most_rounds):
         both = one.union(one.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -24,11 +26,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v")
         new = scratch.save(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-{i + 1}")
-        changed = new.exceptAll(one).limit(1).count() + one.exceptAll(new).limit(1).count()
+        now = new.agg(mark).first()
         scratch.drop(f"{name}-{i}-large")
         if i:
             scratch.drop(f"{name}-{i}")
-        one = new
+        one, changed, last = new, now != last, now
         if not changed:
             break
     else:

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, others, pick, shingles_of, small, steps, utf8
+from .common import Scratch, arrow_rows, mix, others, pick, shingles_of, small, steps, text_key, trim, utf8
 from .graph import components
 
 RATIO = 2.0  # of a size band's ends
 SLACK = 1.2  # partitions over the least number
 MADE = ("n_shingles", "component_id")
 #: Groups of one signature up to this size give all their pairs, larger ones a star at first.
-GROUP = 48
+GROUP = 64
+#: Texts, or pairs of sets, that Python holds at a time.
+BATCH = 2000
+#: Entries in a row that is shuffled.
+PACKET = 4096
+#: 64-bit words of a set's parity sketch.
+SKETCH = 16
 
 
 def text_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -24,11 +32,16 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndar
     return [np.unique(h[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def node_of(s: np.ndarray) -> int:
-    """A set's own 64-bit hash, below 0 never, so that it can stand in a bigint."""
-    return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64))[0] >> np.uint64(1))
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets' own 64-bit hashes, below 0 never, so that they can stand in a bigint; -1 for an empty set."""
+    count = np.array([len(s) for s in sets], np.int64)
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(mix(np.concatenate(sets)) if len(sets) else np.zeros(0, np.uint64)))
+    ends = np.cumsum(count)
+    total = sums[ends] - sums[ends - count]
+    return np.where(count > 0, (mix(total + count.astype(np.uint64)) >> np.uint64(1)).astype(np.int64), -1)
 
 
+@functools.lru_cache(1 << 16)
 def labels_of(n: int, percent: int) -> list[tuple[int, int, int]]:
     """(label, most differences, partitions) of the size bands in which a set of n takes part.
 
@@ -47,8 +60,8 @@ def labels_of(n: int, percent: int) -> list[tuple[int, int, int]]:
     return [(label, k, int(SLACK * (k + 1)) + 2) for label, k in out]
 
 
-def signatures(s: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """A set's signatures, and (label, sure): how many of them it shares at least with a similar set that differs in no element, less one for each that differs.
+def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """The signatures of filled sets, the set of each, and for each set (label, sure): how many of that label's it shares at least with a similar set, less one for each element in which they differ.
 
     The domain is dealt into partitions by hash. Elements in frequent are left out, which can only take differences away. Of
     a similar pair's partitions no more are unlike than it has differences, so each set shares all but that many of its
@@ -56,27 +69,50 @@ def signatures(s: np.ndarray, percent: int, frequent: np.ndarray) -> tuple[np.nd
     elements in hash order, of which two similar sets always share one; if it happens to both of a pair, they meet there,
     and if to one only, the other's guarantee holds.
     """
-    n, out, sure, prefix = len(s), [], [], False
+    if not sets:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    size = np.array([len(s) for s in sets], np.int64)
+    whole, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
     if len(frequent):
-        at = np.searchsorted(frequent, s)
-        rare = s[frequent[np.minimum(at, len(frequent) - 1)] != s]
+        rare = frequent[np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)] != whole
+        left, row = whole[rare], row[rare]
     else:
-        rare = s
+        left = whole
+    count = np.bincount(row, minlength=len(sets))
+    first = np.cumsum(count) - count
+    bands = [(i, *b) for i, n in enumerate(size.tolist()) for b in labels_of(n, percent)]
+    of, label, most, parts = (np.array(x, np.int64) for x in zip(*bands))
+    n = count[of]
+    lane = np.repeat(np.arange(len(of)), n)
+    at = np.repeat(first[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    part = (mix(left[at] + label.astype(np.uint64)[lane]) % parts.astype(np.uint64)[lane]).astype(np.int64)
+    key = (lane << 32) | part
+    order = np.argsort(key)
+    key = key[order]
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.zeros(0, np.int64)
+    sums = np.cumsum(mix(left)[at][order])[ends]
+    total = np.diff(np.append(np.zeros(1, np.uint64), sums))
+    lane, part = key[ends] >> 32, key[ends] & 0xFFFFFFFF
+    sig = mix(total + mix(part.astype(np.uint64) + (label.astype(np.uint64)[lane] << np.uint64(32))))
+    filled = np.bincount(lane, minlength=len(of))
+    sure: list[list[tuple[int, int]]] = [[] for _ in sets]
+    for i, b, f in zip(of.tolist(), label.tolist(), filled.tolist()):
+        sure[i].append((b, f))
     rate = (100 - percent) / (100 + percent)
-    widest = int(rate * (n + n * 100 / percent))
-    hashed = mix(rare)
-    for label, k, parts in labels_of(n, percent):
-        part = (mix(rare + np.uint64(label)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        p, ends = part[order], None
-        ends = np.flatnonzero(np.append(p[1:] != p[:-1], True)) if len(p) else np.zeros(0, np.int64)
-        total = np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed[order])[ends]]))
-        out.append(mix(total + mix(p[ends].astype(np.uint64) + (np.uint64(label) << np.uint64(32)))))
-        sure.append((label, len(ends)))
-        prefix |= len(ends) <= min(k, widest)
-    if prefix:
-        out.append(mix(s[: n - -(-n * percent // 100) + 1] ^ np.uint64(0x5BF0)))
-    return np.concatenate(out), sure
+    widest = (rate * (size + size * 100 / percent)).astype(np.int64)
+    unsure = np.unique(of[filled <= np.minimum(most, widest[of])])
+    heads = [sets[i][: len(sets[i]) - -(-len(sets[i]) * percent // 100) + 1] for i in unsure.tolist()]
+    extra = mix(np.concatenate(heads) ^ np.uint64(0x5BF0)) if heads else np.zeros(0, np.uint64)
+    return np.concatenate([sig, extra]), np.concatenate([of[lane], np.repeat(unsure, [len(h) for h in heads])]), sure
+
+
+def parities(sets: list[np.ndarray], words: int = SKETCH) -> np.ndarray:
+    """(sets, words) of 64 bits each, in which every element turns one bit: where two sets' bits differ in k places, the sets differ in k elements at least."""
+    bits = words * 64
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (mix(np.concatenate(sets) ^ np.uint64(0x51ED)) & np.uint64(bits - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
+    odd = (np.bincount(owner * bits + at, minlength=len(sets) * bits) & 1).astype(np.uint8).reshape(len(sets), bits)
+    return np.packbits(odd, axis=1).view(np.int64)
 
 
 def _batches(it, width: int):
@@ -87,9 +123,11 @@ def _batches(it, width: int):
         for a, b in steps(offsets):
             sets += text_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
         yield rb, sets
+        del sets, data
+        trim()
 
 
-def _frequent(docs: DataFrame, width: int, share: int = 16, least: int = 3, most: int = 1 << 18) -> np.ndarray:
+def _frequent(docs: DataFrame, width: int, share: int = 4, least: int = 3, most: int = 1 << 20) -> np.ndarray:
     """Shingles that a hash sample of 1/share of the texts often has, the most frequent ones if there are over most.
 
     What this list holds changes how many candidates there are, never which links are found.
@@ -107,7 +145,7 @@ def _frequent(docs: DataFrame, width: int, share: int = 16, least: int = 3, most
 
 
 def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """docs (t) -> (sig, node): all signatures that two different sets or more share, and those sets.
+    """docs (t, k1, k2) -> rows (sig, node): all signatures that two different sets or more share, and those sets; and rows (node, k1, k2, n): each text's set and its size (no node if it is empty).
 
     A task sorts the signatures of each batch of texts and sends one set for each, packed by bucket. A signature that
     several sets of the batch share goes out with all of them on its own, dealt by batch, so that a hot signature reaches
@@ -117,78 +155,109 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: np.nda
 
     def sign(it):
         for rb, sets in _batches(it, width):
-            seen = {node_of(s): s for s in sets if len(s)}
-            got = [(signatures(s, percent, shared.value)[0], node) for node, s in seen.items()]
+            nodes = nodes_of(sets)
+            fresh = np.unique(nodes, return_index=True)[1]
+            fresh = fresh[nodes[fresh] >= 0]
+            got = []
+            for a in range(0, len(fresh), 256):
+                part = fresh[a : a + 256]
+                g, o, _ = signatures([sets[i] for i in part], percent, shared.value)
+                got.append((g, nodes[part][o]))
             sig = np.concatenate([g for g, _ in got] or [np.zeros(0, np.uint64)])
-            node = np.repeat(np.array([n for _, n in got], np.int64), [len(g) for g, _ in got])
-            order = np.lexsort((node, sig))
+            node = np.concatenate([n for _, n in got] or [np.zeros(0, np.int64)])
+            order = np.argsort(sig, kind="stable")
             sig, node = sig[order], node[order]
             first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
             several = ~first | np.append(~first[1:], False)[: len(sig)]
-            local = int(sig[0] % np.uint64(buckets)) if len(sig) else 0
-            b = (sig[first] >> np.uint64(20)) % np.uint64(buckets)
+            b = ((sig[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
             edges = np.searchsorted(b[by], np.arange(buckets + 1))
-            rows = [(k, 0, sig[first][by][x:y].tobytes(), node[first][by][x:y].tobytes()) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
-            rows += [(local, 1, sig[several].tobytes(), node[several].tobytes())] if several.any() else []
+            s, n = sig[first][by], node[first][by]
+            rows = [(k, 0, s[v : min(v + PACKET, y)].tobytes(), n[v : min(v + PACKET, y)].tobytes(), None, None) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])) for v in range(x, y, PACKET)]
+            s, n = sig[several], node[several]
+            rows += [(int(s[v] % np.uint64(buckets)), 1, s[v : v + PACKET].tobytes(), n[v : v + PACKET].tobytes(), None, None) for v in range(0, len(s), PACKET)]
+            size = np.array([len(x) for x in sets], np.int64)
+            k1, k2 = (rb.column(i).to_numpy() for i in (1, 2))
+            rows += [(int(k1[v] % buckets), 2, k1[v : v + PACKET].tobytes(), nodes[v : v + PACKET].tobytes(), k2[v : v + PACKET].tobytes(), size[v : v + PACKET].tobytes()) for v in range(0, len(k1), PACKET)]
+            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             for a in range(0, max(1, len(rows)), 64):
                 part = rows[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "kind", "sigs", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(kinds)], names=["bucket", "kind", "c0", "c1", "c2", "c3"])
+
+    def batch(sig=None, node=None, k1=None, k2=None, n=None):
+        count = len(node)
+        columns = [pa.nulls(count, pa.int64()) if c is None else pa.array(c.view(np.int64)) for c in (sig, node, k1, k2, n)]
+        return pa.RecordBatch.from_arrays(columns, names=["sig", "node", "k1", "k2", "n"])
 
     def gather(it):
-        held: tuple[int, list, list] = (-1, [], [])
+        at, held = -1, []
 
         def flush():
-            sig, node = np.concatenate(held[1]), np.concatenate(held[2])
+            sig, node = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in enumerate((np.uint64, np.int64)))
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
             sig, node = sig[fresh], node[fresh]
             same = np.append(False, sig[1:] == sig[:-1])
             keep = same | np.append(same[1:], False)
-            return pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(node[keep])], names=["sig", "node"])
+            return batch(sig[keep], node[keep])
 
         for rb in it:
-            for bucket, kind, sigs, nodes in zip(*[c.to_pylist() for c in rb.columns]):
-                sig, node = np.frombuffer(sigs, np.uint64), np.frombuffer(nodes, np.int64)
-                if kind == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node)], names=["sig", "node"])
-                    continue
-                if bucket != held[0] and held[1]:
-                    yield flush()
-                    held = (bucket, [], [])
-                held = (bucket, [*held[1], sig], [*held[2], node]) if not held[1] else held
-                if held[1][-1] is not sig:
-                    held[1].append(sig), held[2].append(node)
-        if held[1]:
+            for bucket, kind, *blobs in zip(*[c.to_pylist() for c in rb.columns]):
+                if kind == 2:
+                    k1, node, k2, n = (np.frombuffer(x, np.int64) for x in blobs)
+                    yield batch(None, node, k1, k2, n)
+                elif kind == 1:
+                    yield batch(np.frombuffer(blobs[0], np.uint64), np.frombuffer(blobs[1], np.int64))
+                else:
+                    if bucket != at and held:
+                        yield flush()
+                        held = []
+                    at = bucket
+                    held.append(blobs)
+        if held:
             yield flush()
+        held = []
+        trim()
 
-    packed = docs.select("t").mapInArrow(sign, "bucket int, kind int, sigs binary, nodes binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, node long")
+    packed = docs.mapInArrow(sign, "bucket int, kind int, c0 binary, c1 binary, c2 binary, c3 binary")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, node long, k1 long, k2 long, n long")
 
 
 def links_of(df: DataFrame, *, text: str = "text", percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
-    """(members, links, components): members has df's rows with node and n_shingles; links (a, b) join the nodes found similar.
+    """(members, links, components): members has df's rows with __node and n_shingles; links (a, b) join the nodes found similar.
 
     Every two different sets whose Jaccard similarity is percent or more are linked directly or, in a large group of one
     signature, through sets that are: no component loses a link.
     """
+    with arrow_rows(df.sparkSession, BATCH):
+        return _links_of(df, text, percent, width)
+
+
+def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
-    docs = df.select(pick(df, text, "string").alias("t"))
+    t = pick(df, text, "string")
+    k1, k2 = text_key(t)
+    docs = df.select(t.alias("t"), k1.alias("k1"), k2.alias("k2"))
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size * 2 // (64 << 20) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size * 2 // (16 << 20) + 1)
     frequent = _frequent(docs, width)
-    groups = scratch.save(candidate_groups(docs, width, percent, frequent, buckets).groupBy("sig", "node").agg(F.lit(1).alias("one")).select("sig", "node"), "groups")
+    signed = scratch.save(candidate_groups(docs, width, percent, frequent, buckets), "signed")
+    groups = scratch.save(signed.where(F.col("sig").isNotNull()).select("sig", "node").distinct(), "groups")
+    texts = signed.where(F.col("sig").isNull()).select("node", "k1", "k2", "n").distinct()
+    texts = scratch.save(texts.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.when(F.col("node") >= 0, F.col("node")).alias("__node"), F.col("n").alias("n_shingles")), "texts")
+    scratch.drop("signed")
 
     def describe(it):
         """Each set that is in a group: its size and what it is sure to share."""
         known = shared.value
         for _, sets in _batches(it, width):
-            seen = {node_of(s): s for s in sets if len(s)}
-            rows = [(node, len(s), signatures(s, percent, known)[1], s.tobytes()) for node, s in seen.items()]
-            for a in range(0, max(1, len(rows)), 512):
-                part = rows[a : a + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.map_(pa.int32(), pa.int32())), pa.array([r[3] for r in part], pa.binary())], names=["node", "n", "sure", "elements"])
+            seen = {n: s for n, s in zip(nodes_of(sets).tolist(), sets) if n >= 0}
+            nodes, held = list(seen), list(seen.values())
+            for a in range(0, max(1, len(held)), 256):
+                some = held[a : a + 256]
+                columns = [pa.array(nodes[a : a + 256], pa.int64()), pa.array([len(s) for s in some], pa.int64()), pa.array(signatures(some, percent, known)[2], pa.map_(pa.int32(), pa.int32())), pa.array([s.tobytes() for s in some], pa.binary()), pa.array(parities(some).tolist(), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sure", "elements", "sketch"])
 
     shared = spark.sparkContext.broadcast(frequent)
     sizes = groups.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("first"))
@@ -201,7 +270,7 @@ def links_of(df: DataFrame, *, text: str = "text", percent: int = 75, width: int
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot).distinct()
     wanted = scratch.save(wanted, "wanted")
-    sets = docs.mapInArrow(describe, "node long, n long, sure map<int,int>, elements binary").join(small(wanted, scratch, "wanted"), "node", "left_semi")
+    sets = docs.select("t").mapInArrow(describe, "node long, n long, sure map<int,int>, elements binary, sketch array<long>").join(small(wanted, scratch, "wanted"), "node", "left_semi")
     sets = scratch.save(sets, "sets")
     facts = scratch.save(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("sure").alias("sure")), "facts")
     facts = small(facts, scratch, "facts")
@@ -224,40 +293,54 @@ def links_of(df: DataFrame, *, text: str = "text", percent: int = 75, width: int
 
     def verify(it):
         for rb in it:
-            ok = []
+            ok, far = [], []
             for x, y in zip(rb.column(2), rb.column(3)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                ok.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in rb.columns[:2]], names=["a", "b"])
+                union = len(np.unique(np.concatenate([p, q])))
+                ok.append(100 * (len(p) + len(q) - union) >= percent * union)
+                far.append(1 - (len(p) + len(q) - union) / union)
+            yield pa.RecordBatch.from_arrays([*rb.columns[:2], pa.array(ok, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "ok", "far"])
+            trim()
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         with_sets = pairs.join(one.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-        return scratch.save(with_sets.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), name)
+        return scratch.save(with_sets.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, ok boolean, far double"), name)
 
-    links = checked(first, "links")
+    measured = checked(first, "links")
+    links = measured.where("ok").select("a", "b")
     found = scratch.save(components(links, scratch, "cc-first"), "components")
-    if star.limit(1).count():  # of large groups, the pairs that the star left in different components
-        spread = groups.join(sizes.where(F.col("c") > GROUP).select("sig"), "sig").join(found, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    if star.limit(1).count():
+        # Large groups: a star has joined most of what belongs together. A pair in different components still needs a look
+        # only if all that it is sure to share may lie in large groups, if its sizes fit, and if the distances to the
+        # star's centre (by the triangle inequality of Jaccard distance) and the parity sketches let it be near enough.
+        hot_rows = tagged.where(F.col("c") > GROUP).select("sig", "node", "first")
+        widest = F.floor((F.col("n") + F.col("n") * 100 / percent) * (100 - percent) / (100 + percent))
+        need = F.greatest(F.lit(1), F.array_min(F.map_values("sure")) - widest)
+        may = hot_rows.groupBy("node").agg(F.count("*").alias("k")).join(facts, "node").where(F.col("k") >= need).select("node", "n")
+        may = scratch.save(may.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "may")
+        spread = hot_rows.join(may, "node")
         open_ = spread.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sig")
-        spread = scratch.save(spread.join(open_, "sig").join(side("node").select("node", F.col("n_node").alias("n")), "node"), "spread")
-        other = spread.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-        rest = spread.join(other, "sig").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent))
+        centre = facts.select(F.col("node").alias("first"), F.col("n").alias("n_first"))
+        spread = spread.join(open_, "sig").join(centre, "first").join(measured.select(F.col("a").alias("first"), F.col("b").alias("node"), "far"), ["first", "node"], "left")
+        at_least = 1 - F.least("n", "n_first") / F.greatest("n", "n_first")
+        spread = spread.withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
+        spread = spread.select("sig", "node", "root", "n", F.coalesce("far", at_least).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
+        # for each large signature and size step only neighbouring steps meet
+        sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch")).select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+        spread = spread.join(sketches, "node").join(spread.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "node")
+        step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
+        spread = scratch.save(spread.withColumn("step", step), "spread")
+        other = spread.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("sigs").alias("sigs_b"), *[F.col(f"s{i}").alias(f"z{i}") for i in range(SKETCH)], F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+        most = F.lit((100 - percent) / 100 + 1e-9)
+        apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"z{i}"))) for i in range(SKETCH))
+        rest = spread.join(other, ["sig", "step"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)) & (F.col("low") - F.col("high_b") <= most) & (F.col("low_b") - F.col("high") <= most) & (F.array_min(F.array_intersect("sigs", "sigs_b")) == F.col("sig")))  # each pair once
         rest = scratch.save(rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"), "rest")
-        more = checked(rest, "more")
+        more = checked(rest, "more").where("ok").select("a", "b")
         if more.limit(1).count():
             links = links.union(more)
             found = scratch.save(components(links, scratch, "cc-more"), "components-more")
 
-    def member(it):
-        for rb, sets in _batches(it, width):
-            yield pa.RecordBatch.from_arrays([rb.column(1), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["row", "node", "n_shingles"])
-
-    keep = others(df, *MADE)
-    dressed = df.select(pick(df, text, "string").alias("t"), F.struct(*keep).alias("row"))
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    members = dressed.mapInArrow(member, StructType([dressed.schema["row"], StructField("node", LongType()), StructField("n_shingles", LongType())]))
+    members = df.select(*others(df, *MADE), k1.alias("__k1"), k2.alias("__k2")).join(small(texts, scratch, "texts"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
     return members, links, found, scratch
 
 
@@ -271,13 +354,12 @@ def jaccard_components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_
     Sets are told apart by 64-bit hashes; links between different sets are decided on the sets themselves.
     """
     members, _, found, scratch = links_of(df, text=text, percent=percent, width=width)
-    ids = scratch.save(members.select(F.col(f"row.`{doc_id}`").alias("id"), "node").groupBy("node").agg(F.min("id").alias("id")), "ids")
-    roots = ids.where(F.col("node").isNotNull()).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = scratch.save(members.select(pick(df, doc_id).alias("id"), "__node").where(F.col("__node").isNotNull()).groupBy("__node").agg(F.min("id").alias("id")), "ids")
+    roots = ids.join(found.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node"))
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = scratch.save(roots.join(least, "root").select("node", "component_id"), "classes")
-    out = members.join(small(classes, scratch, "classes"), "node", "left")
-    names = [f for f in members.schema["row"].dataType.names]
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "n_shingles", F.coalesce("component_id", F.col(f"row.`{doc_id}`")).alias("component_id"))
+    classes = scratch.save(roots.join(least, "root").select("__node", "component_id"), "classes")
+    out = members.join(small(classes, scratch, "classes"), "__node", "left")
+    return out.select(*others(df, *MADE), "n_shingles", F.coalesce("component_id", pick(df, doc_id)).alias("component_id"))
 
 
 def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
