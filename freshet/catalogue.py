@@ -1,15 +1,166 @@
-"""Queries over the tables of a folder, one for each operator, with SQL that gives the same results."""
+"""Queries over the tables of a folder, one for each operator, with SQL that gives the same results.
+
+BOTH holds texts that Spark and DuckDB read alike; PAIRS holds (Spark, DuckDB) texts where the dialects differ. Spark plans
+all of them with Catalyst; nothing is collected on the way.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.dialect import register
+from .operators import recursion, zset
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+BOTH: dict[str, str] = {
+    "scan": "SELECT * FROM region",
+    "cte_scan": "WITH t AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT a.k, a.n, b.n AS m FROM t a JOIN t b ON a.k = b.k",
+    "project": "SELECT o_orderkey + 1 AS k, o_totalprice * 2 AS p FROM orders",
+    "filter": "SELECT event_id, value FROM events WHERE value > 50 AND event_type = 'click'",
+    "map_filter_map": "SELECT v * 2 AS w FROM (SELECT value + 1 AS v, event_type FROM events) t WHERE v > 20 AND event_type <> 'view'",
+    "comparison": "SELECT event_id, value < 10 AS a, value <= 10 AS b, value <> 10 AS c, value >= 90 AS d FROM events",
+    "three_valued_logic": "SELECT event_id, (nullif(event_type, 'click') = 'view' AND value > 5) AS a, (nullif(event_type, 'click') = 'view' OR value > 5) AS o, NOT (nullif(event_type, 'click') = 'view') AS n FROM events",
+    "is_null": "SELECT event_id FROM events WHERE nullif(event_type, 'click') IS NULL",
+    "is_distinct_from": "SELECT event_id, nullif(event_type, 'click') IS DISTINCT FROM 'view' AS d, nullif(event_type, 'click') IS NOT DISTINCT FROM NULL AS s FROM events",
+    "is_true": "SELECT event_id, (nullif(event_type, 'click') = 'view') IS TRUE AS t, (nullif(event_type, 'click') = 'view') IS NOT FALSE AS f FROM events",
+    "between": "SELECT event_id FROM events WHERE value BETWEEN 10 AND 20",
+    "in_list": "SELECT event_id, nullif(event_type, 'click') IN ('view', 'purchase') AS i, event_type NOT IN ('view') AS n FROM events",
+    "like": "SELECT c_custkey, c_name LIKE '%1_' AS l, c_name LIKE '%#%' ESCAPE '!' AS e FROM customer",
+    "ilike": "SELECT c_custkey, c_name ILIKE 'CUSTOMER%' AS l FROM customer",
+    "case": "SELECT event_id, CASE WHEN value > 50 THEN 'hi' WHEN value > 20 THEN 'mid' ELSE 'lo' END AS c, CASE event_type WHEN 'click' THEN 1 ELSE 0 END AS s FROM events",
+    "cast": "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS s, CAST(o_totalprice AS DECIMAL(18, 2)) AS d, CAST(o_orderdate AS DATE) AS t FROM orders",
+    "arithmetic": "SELECT o_orderkey, -o_orderkey AS n, o_orderkey % 7 AS m, o_totalprice * 1.5 - 2 AS p FROM orders",
+    "typed_literals": "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00' AND CAST(o_orderdate AS DATE) < DATE '1995-01-01' + INTERVAL '90' DAY",
+    "inner_join": "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey",
+    "computed_key_join": "SELECT a.n_name AS x, b.r_name AS y FROM nation a JOIN region b ON a.n_regionkey + 1 = b.r_regionkey + 1",
+    "theta_join": "SELECT a.r_name AS x, b.r_name AS y FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey",
+    "cross_join": "SELECT a.r_name AS x, b.n_name AS y FROM region a CROSS JOIN nation b",
+    "residual_join": "SELECT o.o_orderkey, l.l_linenumber FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey AND l.l_extendedprice > o.o_totalprice / 2",
+    "left_join": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey",
+    "right_join": "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey",
+    "full_join": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN (SELECT * FROM customer WHERE c_custkey > 50) c ON s.s_suppkey = c.c_custkey",
+    "outer_join_residual": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 200000",
+    "full_join_filter": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL JOIN customer c ON s.s_suppkey = c.c_custkey WHERE c.c_acctbal > 5000",
+    "join_using": "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x FULL JOIN (SELECT s_suppkey AS k, s_name AS b FROM supplier) y USING (k)",
+    "semi_join_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
+    "semi_join_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
+    "anti_join_not_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
+    "anti_join_not_in": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)",
+    "correlated_scalar_subquery": "SELECT c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n, (SELECT max(o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS m FROM customer c",
+    "count_star": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
+    "count_column": "SELECT user_id, count(nullif(event_type, 'click')) AS n FROM events GROUP BY user_id",
+    "count_distinct": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",
+    "sum": "SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "avg": "SELECT l_returnflag, avg(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY l_returnflag",
+    "min_max": "SELECT o_custkey, min(o_totalprice) AS a, max(o_orderdate) AS b FROM orders GROUP BY o_custkey",
+    "filter_aggregate": "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS n FROM orders GROUP BY o_custkey",
+    "having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
+    "select_distinct": "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer",
+    "partitioned_top_k": "SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey) AS r FROM orders) t WHERE r <= 3",
+    "ranks": "SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS d FROM part",
+    "window_partition": "SELECT event_id, count(*) OVER (PARTITION BY user_id) AS n, max(value) OVER (PARTITION BY user_id) AS m FROM events",
+    "window_running": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST) AS n FROM events",
+    "window_range": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS n FROM events",
+    "lag_lead": "SELECT event_id, lag(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, lead(value, 2, -1.0) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events",
+    "first_last_value": "SELECT event_id, first_value(value) OVER w AS a, last_value(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 20 OFFSET 5",
+    "limit_without_order": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey, c_name LIMIT 10",
+    "union_all": "SELECT n_name AS x FROM nation UNION ALL SELECT r_name AS x FROM region",
+    "union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
+    "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT nullif(s_nationkey, 3) AS k FROM supplier",
+    "except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey AS k FROM supplier",
+    "coalesce_nullif": "SELECT event_id, coalesce(nullif(event_type, 'click'), 'none') AS c FROM events",
+    "greatest_least": "SELECT l_orderkey, l_linenumber, greatest(l_orderkey, l_partkey) AS g, least(l_orderkey, nullif(l_partkey, 5)) AS l FROM lineitem",
+    "upper_lower_length": "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, length(c_name) AS n FROM customer",
+    "md5": "SELECT c_custkey, md5(c_name) AS h FROM customer",
+    "concat_ws": "SELECT c_custkey, concat_ws('-', c_name, nullif(c_mktsegment, 'BUILDING')) AS s, c_name || c_mktsegment AS b FROM customer",
+    "replace": "SELECT c_custkey, replace(c_name, 'Customer', 'C') AS s FROM customer",
+    "abs_round": "SELECT c_custkey, abs(c_acctbal) AS a, round(CAST(c_acctbal AS DECIMAL(12, 2)), 1) AS r FROM customer",
+    "power_sqrt_exp": "SELECT p_partkey, power(p_size, 2) AS p, sqrt(p_size) AS q FROM part",
+}
+
+PAIRS: dict[str, tuple[str, str]] = {
+    "similar_to": (r"SELECT c_custkey, c_name RLIKE '^(?s:Customer#0*[1-5]+)$' AS s FROM customer", "SELECT c_custkey, regexp_full_match(c_name, 'Customer#0*[1-5]+') AS s FROM customer"),
+    "regexp_like": ("SELECT c_custkey, c_name RLIKE '[13579]$' AS s FROM customer", "SELECT c_custkey, regexp_matches(c_name, '[13579]$') AS s FROM customer"),
+    "regexp_replace_first": ("SELECT c_custkey, fx_regexp_replace(c_name, '0', 'x') AS s FROM customer", "SELECT c_custkey, regexp_replace(c_name, '0', 'x') AS s FROM customer"),
+    "regexp_substr": ("SELECT c_custkey, regexp_substr(c_name, '[1-9][0-9]*') AS s FROM customer", "SELECT c_custkey, nullif(regexp_extract(c_name, '[1-9][0-9]*'), '') AS s FROM customer"),
+    "integer_division": ("SELECT o_orderkey, o_orderkey DIV 7 AS d FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d FROM orders"),
+    "iif_decode": ("SELECT event_id, if(value > 50, 'a', 'b') AS i, decode(event_type, 'click', 1, 'view', 2, 0) AS d FROM events", "SELECT event_id, CASE WHEN value > 50 THEN 'a' ELSE 'b' END AS i, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 ELSE 0 END AS d FROM events"),
+    "concat_skips_nulls": ("SELECT c_custkey, fx_concat(nullif(c_mktsegment, 'BUILDING'), c_name) AS s FROM customer", "SELECT c_custkey, concat(nullif(c_mktsegment, 'BUILDING'), c_name) AS s FROM customer"),
+    "substring": ("SELECT c_custkey, fx_substring(c_name, -1, 5) AS s FROM customer", "SELECT c_custkey, c_name[1:3] AS s FROM customer"),
+    "split_index": ("SELECT c_custkey, fx_split_index(c_name, '#', 1) AS s FROM customer", "SELECT c_custkey, string_split(c_name, '#')[2] AS s FROM customer"),
+    "split_part": ("SELECT c_custkey, fx_split_part(c_name, '#', 2) AS s, fx_split_part(c_name, '#', 0) AS z FROM customer", "SELECT c_custkey, split_part(c_name, '#', 2) AS s, '' AS z FROM customer"),
+    "strpos": ("SELECT c_custkey, CAST(fx_strpos(c_name, '#') AS BIGINT) AS p FROM customer", "SELECT c_custkey, strpos(c_name, '#') AS p FROM customer"),
+    "trim": ("SELECT c_custkey, TRIM(BOTH 'Cr' FROM c_name) AS t FROM customer", "SELECT c_custkey, trim(c_name, 'Cr') AS t FROM customer"),
+    "log": ("SELECT p_partkey, round(fx_log(CAST(p_size AS DOUBLE)), 9) AS l FROM part", "SELECT p_partkey, round(log10(p_size), 9) AS l FROM part"),
+    "sign": ("SELECT c_custkey, fx_sign(c_acctbal) AS s FROM customer", "SELECT c_custkey, CAST(sign(c_acctbal) AS INTEGER) AS s FROM customer"),
+    "floor_ceil": ("SELECT c_custkey, CAST(floor(c_acctbal) AS DOUBLE) AS f, CAST(ceil(c_acctbal) AS DOUBLE) AS c FROM customer", "SELECT c_custkey, floor(c_acctbal) AS f, ceil(c_acctbal) AS c FROM customer"),
+    "extract": ("SELECT event_id, CAST(extract(YEAR FROM ts) AS BIGINT) AS y, CAST(extract(WEEK FROM ts) AS BIGINT) AS w, fx_dow(ts) AS d, fx_epoch(ts) AS e FROM events", "SELECT event_id, extract(year FROM ts) AS y, extract(week FROM ts) AS w, extract(dow FROM ts) AS d, epoch(ts) AS e FROM events"),
+    "date_trunc": ("SELECT event_id, CAST(date_trunc('MONTH', ts) AS TIMESTAMP_NTZ) AS m FROM events", "SELECT event_id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS m FROM events"),
+    "dateadd": ("SELECT event_id, timestampadd(MONTH, 1, ts) AS m FROM events", "SELECT event_id, ts + INTERVAL 1 MONTH AS m FROM events"),
+    "datediff_boundaries": ("SELECT o_orderkey, fx_year_diff(o_orderdate, TIMESTAMP_NTZ '2000-01-01 00:00:00') AS y FROM orders", "SELECT o_orderkey, date_diff('year', o_orderdate, TIMESTAMP '2000-01-01 00:00:00') AS y FROM orders"),
+    "tumble": ("SELECT fx_tumble(ts, 3600000000) AS w, count(*) AS n FROM events GROUP BY 1", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, count(*) AS n FROM events GROUP BY 1"),
+    "tumble_start_end": ("SELECT window.start AS s, window.end AS e, count(*) AS n FROM (SELECT window(ts, '1 day') AS window FROM events) t GROUP BY 1, 2", "SELECT date_trunc('day', ts) AS s, date_trunc('day', ts) + INTERVAL 1 DAY AS e, count(*) AS n FROM events GROUP BY 1, 2"),
+    "hop": ("SELECT w.start AS s, event_type, count(*) AS n FROM (SELECT window(ts, '2 hours', '1 hour') AS w, event_type FROM events) t GROUP BY 1, 2", "SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (k) HOUR AS s, event_type, count(*) AS n FROM events, range(2) r(k) GROUP BY 1, 2"),
+    "stddev_variance": ("SELECT event_type, round(stddev_samp(value), 6) AS a, round(var_pop(value), 4) AS b FROM events GROUP BY event_type", "SELECT event_type, round(stddev_samp(value), 6) AS a, round(var_pop(value), 4) AS b FROM events GROUP BY event_type"),
+    "median_percentile": ("SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS m, percentile_disc(0.25) WITHIN GROUP (ORDER BY value) AS d FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS m, quantile_disc(value, 0.25) AS d FROM events GROUP BY event_type"),
+    "percentile_timestamp": ("SELECT event_type, CAST(timestamp_micros(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(CAST(ts AS TIMESTAMP))) AS BIGINT)) AS TIMESTAMP_NTZ) AS m FROM events GROUP BY event_type", "SELECT event_type, quantile_disc(ts, 0.5) AS m FROM events GROUP BY event_type"),
+    "in_projection_3vl": (
+        "SELECT k, CASE WHEN m.x IS NOT NULL THEN TRUE WHEN c.n = 0 THEN FALSE WHEN k IS NULL OR c.nulls > 0 THEN NULL ELSE FALSE END AS i FROM (SELECT nullif(n_regionkey, 0) AS k FROM nation) a LEFT JOIN (SELECT DISTINCT nullif(r_regionkey, 1) AS x FROM region) m ON a.k = m.x CROSS JOIN (SELECT count(*) AS n, count(*) - count(nullif(r_regionkey, 1)) AS nulls FROM region) c",
+        "SELECT k, k IN (SELECT nullif(r_regionkey, 1) FROM region) AS i FROM (SELECT nullif(n_regionkey, 0) AS k FROM nation) a",
+    ),
+    "temporal_filter": ("SELECT event_id FROM events WHERE ts > TIMESTAMP_NTZ '2024-01-15 00:00:00' - INTERVAL '7' DAY AND ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00'", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-15 00:00:00'"),
+}
+
+
+def prepare(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """The dialect's functions if sql uses them, and views of the tables that it names."""
+    if "fx_" in sql:
+        register(spark)
+    for t in TABLES:
+        if t in sql:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def run_sql(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark, sf_dir, sql)
+    return spark.sql(sql)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count("*").alias("n"))
+    """Orders with their customer and nation, grouped: the joined group-by of the headline."""
+    return run_sql(FLAGSHIP, spark, sf_dir)
+
+
+FLAGSHIP = """SELECT n.n_name, o.o_orderstatus, count(*) AS n_orders, max(o.o_totalprice) AS largest
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, o.o_orderstatus"""
+
+
+def weighted_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events inserted, clicks deleted again: what is left, counted by type."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    left = zset.minus(zset.weighted(e), zset.weighted(e.where("event_type = 'click'")))
+    return left.groupBy("event_type").agg(F.sum(zset.W).alias("n"))
+
+
+def recursive_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitive closure over the edges order's month -> customer's nation."""
+    edges = run_sql(EDGES, spark, sf_dir)
+    return recursion.fixpoint(edges, lambda new: new.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst")))
+
 
+EDGES = "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS src, CAST(n_nationkey * 3 % 25 AS BIGINT) AS dst FROM nation"
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable] = {"flagship": flagship, "zset_difference": weighted_integral, "with_recursive": recursive_reach}
+QUERIES |= {k: partial(run_sql, v) for k, v in BOTH.items()} | {k: partial(run_sql, v[0]) for k, v in PAIRS.items()}
+ORACLE_SQL: dict[str, str] = BOTH | {k: v[1] for k, v in PAIRS.items()} | {
+    "flagship": FLAGSHIP,
+    "zset_difference": "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY event_type",
+    "with_recursive": f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r",
+}
