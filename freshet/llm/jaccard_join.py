@@ -318,7 +318,7 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
         need = F.greatest(F.lit(1), F.array_min(F.map_values("sure")) - widest)
         may = hot_rows.groupBy("node").agg(F.count("*").alias("k")).join(facts, "node").where(F.col("k") >= need).select("node", "n")
         may = scratch.save(may.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "may")
-        spread = hot_rows.join(may, "node")
+        spread = scratch.save(hot_rows.join(may, "node"), "hot-rows")  # read three times below
         open_ = spread.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sig")
         centre = facts.select(F.col("node").alias("first"), F.col("n").alias("n_first"))
         spread = spread.join(open_, "sig").join(centre, "first").join(measured.select(F.col("a").alias("first"), F.col("b").alias("node"), "far"), ["first", "node"], "left")
@@ -327,9 +327,10 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
         spread = spread.select("sig", "node", "root", "n", F.coalesce("far", at_least).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
         # for each large signature and size step only neighbouring steps meet
         sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch")).select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
-        spread = spread.join(sketches, "node").join(spread.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "node")
+        spread = spread.join(spread.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(sketches, "node"), "node")
         step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
         spread = scratch.save(spread.withColumn("step", step), "spread")
+        scratch.drop("hot-rows")
         other = spread.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("sigs").alias("sigs_b"), *[F.col(f"s{i}").alias(f"z{i}") for i in range(SKETCH)], F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
         most = F.lit((100 - percent) / 100 + 1e-9)
         apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"z{i}"))) for i in range(SKETCH))
