@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.dialect import register
 from .operators import recursion, zset
+from .plans import auctions, incremental
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -118,6 +119,21 @@ PAIRS: dict[str, tuple[str, str]] = {
     "temporal_filter": ("SELECT event_id FROM events WHERE ts > TIMESTAMP_NTZ '2024-01-15 00:00:00' - INTERVAL '7' DAY AND ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00'", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-15 00:00:00'"),
 }
 
+PAIRS |= {
+    "regexp_flags": ("SELECT c_custkey, c_name RLIKE '(?i)^CUSTOMER' AS s FROM customer", "SELECT c_custkey, regexp_matches(c_name, '^CUSTOMER', 'i') AS s FROM customer"),
+    "regexp_replace_all": ("SELECT c_custkey, regexp_replace(c_name, '0', 'x') AS s FROM customer", "SELECT c_custkey, regexp_replace(c_name, '0', 'x', 'g') AS s FROM customer"),
+    "ln_exp_log_base": ("SELECT p_partkey, round(ln(p_size), 9) AS l, round(exp(p_size / 10.0D), 6) AS e, round(log(2.0D, p_size), 9) AS b FROM part", "SELECT p_partkey, round(ln(p_size), 9) AS l, round(exp(p_size / 10.0::DOUBLE), 6) AS e, round(log(2.0::DOUBLE, p_size), 9) AS b FROM part"),
+    "interval_arithmetic": ("SELECT event_id, ts + INTERVAL '36' HOUR AS a, ts - INTERVAL '2' DAY AS b, CAST(add_months(CAST(ts AS DATE), 13) AS DATE) AS c FROM events", "SELECT event_id, ts + INTERVAL 36 HOUR AS a, ts - INTERVAL 2 DAY AS b, CAST(CAST(ts AS DATE) + INTERVAL 13 MONTH AS DATE) AS c FROM events"),
+    "date_trunc_date": ("SELECT o_orderkey, CAST(date_trunc('WEEK', CAST(o_orderdate AS DATE)) AS DATE) AS w FROM orders", "SELECT o_orderkey, CAST(date_trunc('week', CAST(o_orderdate AS DATE)) AS DATE) AS w FROM orders"),
+    "full_join_keyless": ("SELECT a.r_name AS x, b.n_name AS y FROM region a FULL JOIN (SELECT * FROM nation WHERE n_nationkey < 3) b ON a.r_regionkey > b.n_nationkey + 2", "SELECT a.r_name AS x, b.n_name AS y FROM region a FULL JOIN (SELECT * FROM nation WHERE n_nationkey < 3) b ON a.r_regionkey > b.n_nationkey + 2"),
+    "flat_map": ("SELECT c_custkey, explode(split(c_name, '#')) AS part FROM customer", "SELECT c_custkey, unnest(string_split(c_name, '#')) AS part FROM customer"),
+} | auctions.PAIRS
+#: Estimates: no SQL gives the very same numbers.
+ESTIMATES: dict[str, str] = {
+    "approx_count_distinct": "SELECT event_type, approx_count_distinct(user_id, 0.016) AS n FROM events GROUP BY event_type",
+    "approx_percentile": "SELECT event_type, approx_percentile(value, 0.9, 10000) AS p FROM events GROUP BY event_type",
+}
+
 
 def prepare(spark: SparkSession, sf_dir: str, sql: str) -> None:
     """The dialect's functions if sql uses them, and views of the tables that it names."""
@@ -158,8 +174,8 @@ def recursive_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES = "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS src, CAST(n_nationkey * 3 % 25 AS BIGINT) AS dst FROM nation"
 
 QUERIES: dict[str, Callable] = {"flagship": flagship, "zset_difference": weighted_integral, "with_recursive": recursive_reach}
-QUERIES |= {k: partial(run_sql, v) for k, v in BOTH.items()} | {k: partial(run_sql, v[0]) for k, v in PAIRS.items()}
-ORACLE_SQL: dict[str, str] = BOTH | {k: v[1] for k, v in PAIRS.items()} | {
+QUERIES |= incremental.QUERIES | {k: partial(run_sql, v) for k, v in (BOTH | ESTIMATES).items()} | {k: partial(run_sql, v[0]) for k, v in PAIRS.items()}
+ORACLE_SQL: dict[str, str] = BOTH | incremental.ORACLE_SQL | {k: v[1] for k, v in PAIRS.items()} | {
     "flagship": FLAGSHIP,
     "zset_difference": "SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'click' GROUP BY event_type",
     "with_recursive": f"WITH RECURSIVE e AS ({EDGES}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r",

@@ -29,9 +29,18 @@ def duck():
     return db
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_like_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     want = duck.execute(f"SELECT {', '.join(cols)} FROM ({catalogue.ORACLE_SQL[name]}) q").fetchall()
     assert rows(df.select(cols).collect()) == rows(want)
+
+
+def test_estimates_are_near(spark, duck):
+    exact = dict(duck.execute("SELECT event_type, count(DISTINCT user_id) FROM events GROUP BY event_type").fetchall())
+    for r in catalogue.QUERIES["approx_count_distinct"](spark, SF).collect():
+        assert abs(r.n - exact[r.event_type]) <= 0.06 * exact[r.event_type] + 1
+    exact = dict(duck.execute("SELECT event_type, quantile_disc(value, 0.9) FROM events GROUP BY event_type").fetchall())
+    for r in catalogue.QUERIES["approx_percentile"](spark, SF).collect():
+        assert r.p == pytest.approx(exact[r.event_type], rel=0.05)
