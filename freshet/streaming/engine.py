@@ -30,6 +30,7 @@ class Engine:
         self.dropped: dict[str, int] = {}
         self.views: dict[str, str] = {}
         self.queued: dict[str, list[DataFrame]] = {}
+        self.offsets: dict[str, int] = {}
         self.tick, self.clock = 0, 0
 
     def table(self, name: str, schema: str, lateness: tuple[str, int] | None = None) -> None:
@@ -82,13 +83,18 @@ class Engine:
                 delta = delta.unionByName(part)
             zset.normalise(self._on_time(name, delta)).write.mode("overwrite").parquet(self._path(name, t))
         self.tick = t
-        state = {"tick": t, "clock": self.clock, "frontier": self.frontier, "dropped": self.dropped}
+        state = {"tick": t, "clock": self.clock, "frontier": self.frontier, "dropped": self.dropped, "offsets": self.offsets, "schemas": self.schemas, "views": self.views}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/tick={t}")
         return t
 
     def recover(self, tick: int) -> None:
         """Goes on from a committed tick, as another process left it."""
         state = json.loads(self.spark.read.text(f"{self.root}/manifest/tick={tick}").first()[0])
+        for what, mine in (("schemas", self.schemas), ("views", self.views)):
+            changed = [k for k in mine if state.get(what, {}).get(k, mine[k]) != mine[k]]
+            if changed:
+                raise ValueError(f"the state was made with other {what}: {', '.join(sorted(changed))}")
+        self.offsets = state.get("offsets", {})
         self.tick, self.clock, self.frontier, self.dropped = state["tick"], state["clock"], state["frontier"], state["dropped"]
 
     def snapshot(self, view: str, tick: int | None = None, clock: int | None = None) -> DataFrame:
@@ -106,3 +112,11 @@ class Engine:
         """The signed change of the last tick."""
         old = zset.weighted(self.snapshot(view, self.tick - 1, clock_before))
         return zset.minus(zset.weighted(self.snapshot(view)), old)
+
+    def stats(self) -> DataFrame:
+        """For each table: rows retained, rows of the last tick, frontier and late rows dropped. Counted from the state's files."""
+        rows = []
+        for name in self.schemas:
+            last = self.spark.read.schema(self._empty(name).schema).parquet(self._path(name, self.tick)).count() if self.tick else 0
+            rows.append((name, self.integral(name, self.tick).count(), last, self.frontier.get(name), self.dropped.get(name, 0)))
+        return self.spark.createDataFrame(rows, "name string, retained bigint, last bigint, frontier bigint, dropped bigint")

@@ -1,6 +1,9 @@
+import pytest
+
 from freshet.operators import zset
 from freshet.sources.tables import from_ipc, to_ipc
 from freshet.streaming.engine import Engine
+from freshet.streaming.runner import Sink, VersionedSource, follow, resume, run
 
 W = zset.W
 
@@ -48,3 +51,42 @@ def test_rules_agree_with_the_definition(spark):
     assert bag(zset.join_delta(old, d, zset.plus(b, db), db, ["k"])) == bag(want)
     assert bag(zset.sums_delta(old, d, ["k"], "v")) == [(1, 2, 4, 1), (1, 3, 5, -1), (2, 1, 5, 1), (None, 1, 3, -1), (None, 2, 6, 1)]
     assert bag(from_ipc(spark, to_ipc(d))) == bag(d)
+
+
+def program(spark, root):
+    e = Engine(spark, f"file://{root}/state")
+    e.table("t", "k int, v int")
+    e.table("u", "k int, name string")
+    e.view("j", "SELECT u.name, t.v FROM t JOIN u ON t.k = u.k")
+    e.view("s", "SELECT name, sum(v) AS total FROM j GROUP BY name")
+    return e
+
+
+def test_runner_counts_each_version_once(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (2, 6)], "k int, v int").write.parquet(f"{tmp_path}/t/v=0")
+    spark.createDataFrame([(1, 5, "update_preimage"), (1, 9, "update_postimage"), (2, 6, "delete")], "k int, v int, _change_type string").write.parquet(f"{tmp_path}/t/v=1")
+    spark.sql("SELECT named_struct('id', 1, 'label', named_struct('text', 'a')) AS r").write.parquet(f"{tmp_path}/u/v=0")
+    sources = {"t": VersionedSource(f"file://{tmp_path}/t"), "u": VersionedSource(f"file://{tmp_path}/u", {"k": "r.id", "name": "r.label.text"})}
+    sinks = [Sink("s", f"file://{tmp_path}/s"), Sink("j", f"file://{tmp_path}/j", "truncate")]
+    e = program(spark, tmp_path)
+    assert run(e, sources, sinks) == 3 and run(e, sources, sinks) == 0
+    log = spark.read.parquet(f"file://{tmp_path}/s").groupBy("name", "total").agg({W: "sum"}).where(f"sum({W}) <> 0")
+    assert bag(log) == [("a", 9, 1)] and bag(spark.read.parquet(f"file://{tmp_path}/j")) == [("a", 9)]
+    again = program(spark, tmp_path)
+    assert resume(again, 2, sources, sinks) == 1 and bag(again.snapshot("s")) == [("a", 9)]
+    assert {r.name: (r.retained, r.last) for r in again.stats().collect()} == {"t": (1, 3), "u": (1, 0)}
+    other = program(spark, tmp_path)
+    other.view("s", "SELECT name, count(*) AS total FROM j GROUP BY name")
+    with pytest.raises(ValueError, match="other views: s"):
+        other.recover(3)
+
+
+def test_stream_feeds_ticks(spark, tmp_path):
+    for part in ([(1, 5)], [(1, 6), (3, 7)]):
+        spark.createDataFrame(part, "k int, v int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    e = program(spark, tmp_path)
+    e.push("u", [(1, "a")])
+    e.step()
+    stream = spark.readStream.schema("k int, v int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    follow(e, "t", stream, [], f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
+    assert e.tick == 3 and bag(e.snapshot("s")) == [("a", 11)]
