@@ -18,7 +18,7 @@ def weighted(df: DataFrame, weight: int = 1) -> DataFrame:
 
 def normalise(z: DataFrame) -> DataFrame:
     """Equal rows' weights added; rows of weight zero go. NULLs are equal to one another here."""
-    return z.groupBy(*columns(z)).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
+    return z.groupBy(*[f"`{c}`" for c in columns(z)]).agg(F.sum(W).alias(W)).where(F.col(W) != 0)
 
 
 def negate(z: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def distinct_delta(old: DataFrame, delta: DataFrame) -> DataFrame:
     """The change of distinct rows: only rows that delta touches are looked up."""
     keys = columns(delta)
     touched = normalise(delta).withColumnRenamed(W, "__d")
-    same = [F.col(f"o.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
-    both = touched.alias("t").join(normalise(old).alias("o"), same, "left").select(*[F.col(f"t.{k}") for k in keys], F.coalesce(F.col(f"o.{W}"), F.lit(0)).alias("__o"), "__d")
+    same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in keys]
+    both = touched.alias("t").join(normalise(old).alias("o"), same, "left").select(*[F.col(f"t.`{k}`") for k in keys], F.coalesce(F.col(f"o.{W}"), F.lit(0)).alias("__o"), "__d")
     change = (F.col("__o") + F.col("__d") > 0).cast("bigint") - (F.col("__o") > 0).cast("bigint")
-    return both.withColumn(W, change).where(F.col(W) != 0).select(*keys, W)
+    return both.withColumn(W, change).where(F.col(W) != 0).select(*[f"`{k}`" for k in keys], W)
 
 
 def sums_delta(old: DataFrame, delta: DataFrame, keys: list[str], value: str) -> DataFrame:

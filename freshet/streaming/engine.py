@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import zset
 from ..sources.tables import shared_dir
+from . import maintenance
 
 W = zset.W
 
@@ -18,11 +19,13 @@ class Engine:
     """Tables and SQL views over a Spark session.
 
     The state is versioned Parquet in the shared folder: one folder a tick and table, and a manifest that is written last,
-    so a tick either counts as a whole or not at all. A view's change is its query on the new tables less its query on the
-    old ones, on which every incremental rule of operators.zset must agree.
+    so a tick either counts as a whole or not at all. compact() writes a table's sum, from which later ticks go on.
+
+    A view's change comes from the tables' changes where the view is linear in each (maintenance.tables_of sees that in its
+    plan), from the rows of touched keys where it was declared with keys, and else is the view now less the view before.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
+    def __init__(self, spark: SparkSession, root: str | None = None, compact_every: int = 0):
         self.spark, self.root = spark, root or f"{shared_dir(spark)}/freshet-engine-{uuid.uuid4().hex}"
         self.schemas: dict[str, str] = {}
         self.lateness: dict[str, tuple[str, int]] = {}
@@ -31,20 +34,36 @@ class Engine:
         self.views: dict[str, str] = {}
         self.queued: dict[str, list[DataFrame]] = {}
         self.offsets: dict[str, int] = {}
+        self.keys: dict[str, dict[str, list[str]]] = {}
+        self.append_only: set[str] = set()
+        self.bases: list[int] = []
+        self.compact_every = compact_every
         self.tick, self.clock = 0, 0
 
-    def table(self, name: str, schema: str, lateness: tuple[str, int] | None = None) -> None:
+    def table(self, name: str, schema: str, lateness: tuple[str, int] | None = None, append_only: bool = False) -> None:
+        """lateness: (column, how far behind the newest), in microseconds for timestamps and days for dates."""
         self.schemas[name] = schema
+        if append_only:
+            self.append_only.add(name)
         if lateness:
             self.lateness[name] = lateness
 
-    def view(self, name: str, sql: str) -> None:
-        """SQL over tables and earlier views; :now is the engine's clock in microseconds."""
+    def view(self, name: str, sql: str, keys: dict[str, list[str]] | None = None) -> None:
+        """SQL over tables and earlier views; :now is the engine's clock in microseconds.
+
+        keys: each table's columns by which the view falls apart (of a group, a partition, a join), so that its rows for one
+        value follow from the tables' rows of that value alone. Then only touched values are worked out again.
+        """
         self.views[name] = sql
+        if keys:
+            self.keys[name] = keys
 
     def push(self, name: str, rows: list[tuple] | DataFrame, weight: int = 1) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schemas[name])
-        self.queued.setdefault(name, []).append(zset.weighted(df, weight))
+        df = zset.weighted(df, weight)
+        if name in self.append_only and df.where(F.col(W) < 0).limit(1).count():
+            raise ValueError(f"{name} is append-only")
+        self.queued.setdefault(name, []).append(df)
 
     def advance_clock(self, micros: int) -> None:
         if micros < self.clock:
@@ -60,16 +79,41 @@ class Engine:
     def integral(self, name: str, tick: int) -> DataFrame:
         if tick == 0:
             return self._empty(name)
-        return zset.normalise(self.spark.read.schema(self._empty(name).schema).parquet(*[self._path(name, t) for t in range(1, tick + 1)]))
+        base = max((b for b in self.bases if b <= tick), default=0)
+        paths = [f"{self.root}/{name}/base={base}"] if base else []
+        paths += [self._path(name, t) for t in range(base + 1, tick + 1)]
+        return zset.normalise(self.spark.read.schema(self._empty(name).schema).parquet(*paths))
+
+    def change(self, name: str) -> DataFrame:
+        """The table's own change in the last tick."""
+        return self.spark.read.schema(self._empty(name).schema).parquet(self._path(name, self.tick)) if self.tick else self._empty(name)
+
+    def compact(self) -> None:
+        """Writes each table's sum; the next tick's manifest makes it count. Till then, and for older ticks, the ticks are read."""
+        for name in self.schemas:
+            self.integral(name, self.tick).write.mode("overwrite").parquet(f"{self.root}/{name}/base={self.tick}")
+        self.bases = [b for b in self.bases if b != self.tick] + [self.tick]
+
+    def vacuum(self) -> None:
+        """Removes the ticks that went into a sum that a later manifest names: recover() and snapshots reach back to it."""
+        last = max((b for b in self.bases if b < self.tick), default=0)
+        gone = [f"tick={t}" for t in range(1, last + 1)] + [f"base={b}" for b in self.bases if b < last]
+        for name in self.schemas:
+            for g in gone:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/{g}")
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.bases = [b for b in self.bases if b >= last]
 
     def _on_time(self, name: str, delta: DataFrame) -> DataFrame:
         if name not in self.lateness:
             return delta
         column, late = self.lateness[name]
         limit = self.frontier.get(name)
-        kept = delta if limit is None else delta.where(F.col(column) >= limit)
+        kind, at = dict(delta.dtypes)[column], F.col(f"`{column}`")
+        at = F.unix_micros(at.cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(at) if kind == "date" else at
+        kept = delta if limit is None else delta.where(at >= limit)
         self.dropped[name] = self.dropped.get(name, 0) + (delta.count() - kept.count() if limit is not None else 0)
-        top = delta.agg(F.max(column)).first()[0]
+        top = delta.agg(F.max(at)).first()[0]
         if top is not None:
             self.frontier[name] = max(limit if limit is not None else top - late, top - late)
         return kept
@@ -83,8 +127,10 @@ class Engine:
                 delta = delta.unionByName(part)
             zset.normalise(self._on_time(name, delta)).write.mode("overwrite").parquet(self._path(name, t))
         self.tick = t
-        state = {"tick": t, "clock": self.clock, "frontier": self.frontier, "dropped": self.dropped, "offsets": self.offsets, "schemas": self.schemas, "views": self.views}
+        state = {"tick": t, "clock": self.clock, "frontier": self.frontier, "dropped": self.dropped, "offsets": self.offsets, "bases": self.bases, "schemas": self.schemas, "views": self.views}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/tick={t}")
+        if self.compact_every and t % self.compact_every == 0:
+            self.compact()
         return t
 
     def recover(self, tick: int) -> None:
@@ -94,24 +140,44 @@ class Engine:
             changed = [k for k in mine if state.get(what, {}).get(k, mine[k]) != mine[k]]
             if changed:
                 raise ValueError(f"the state was made with other {what}: {', '.join(sorted(changed))}")
-        self.offsets = state.get("offsets", {})
+        self.offsets, self.bases = state.get("offsets", {}), state.get("bases", [])
         self.tick, self.clock, self.frontier, self.dropped = state["tick"], state["clock"], state["frontier"], state["dropped"]
 
-    def snapshot(self, view: str, tick: int | None = None, clock: int | None = None) -> DataFrame:
-        """The view's rows as a bag."""
-        t = self.tick if tick is None else tick
-        for name in self.schemas:
-            zset.expand(self.integral(name, t)).createOrReplaceTempView(name)
+    def _view(self, view: str, frames: dict[str, DataFrame], clock: int) -> DataFrame:
+        """The view's rows over these bags."""
+        for name, df in frames.items():
+            df.createOrReplaceTempView(name)
         for name, sql in self.views.items():
-            self.spark.sql(sql.replace(":now", str(self.clock if clock is None else clock))).createOrReplaceTempView(name)
+            self.spark.sql(sql.replace(":now", str(clock))).createOrReplaceTempView(name)
             if name == view:
                 return self.spark.table(name)
         raise KeyError(view)
 
+    def snapshot(self, view: str, tick: int | None = None, clock: int | None = None) -> DataFrame:
+        """The view's rows as a bag."""
+        t = self.tick if tick is None else tick
+        frames = {name: zset.expand(self.integral(name, t)) for name in self.schemas}
+        return self._view(view, frames, self.clock if clock is None else clock)
+
+    def rule(self, view: str) -> tuple[str, list[str]]:
+        """How the view's change is found ("linear", "keyed" or "whole"), and the tables that it goes by."""
+        empty = {name: self.spark.createDataFrame([], schema) for name, schema in self.schemas.items()}
+        used = maintenance.tables_of(self._view(view, empty, self.clock), set(self.schemas))
+        if used:
+            return "linear", sorted(used)
+        return ("keyed", list(self.keys[view])) if view in self.keys else ("whole", list(self.schemas))
+
     def delta(self, view: str, clock_before: int | None = None) -> DataFrame:
         """The signed change of the last tick."""
-        old = zset.weighted(self.snapshot(view, self.tick - 1, clock_before))
-        return zset.minus(zset.weighted(self.snapshot(view)), old)
+        rule, used = self.rule(view) if clock_before in (None, self.clock) else ("whole", [])
+        old, new = (lambda n: self.integral(n, self.tick - 1)), (lambda n: self.integral(n, self.tick))
+        if rule == "linear":
+            rest = {n: self.spark.createDataFrame([], self.schemas[n]) for n in self.schemas if n not in used}
+            return maintenance.linear_delta(used, old, self.change, new, lambda frames: self._view(view, rest | frames, self.clock))
+        if rule == "keyed" and not any(self.change(n).limit(1).count() for n in self.schemas if n not in used):
+            rest = {n: zset.expand(new(n)) for n in self.schemas if n not in used}
+            return maintenance.keyed_delta(self.keys[view], old, self.change, new, lambda frames: self._view(view, rest | frames, self.clock))
+        return zset.minus(zset.weighted(self.snapshot(view)), zset.weighted(self.snapshot(view, self.tick - 1, clock_before)))
 
     def stats(self) -> DataFrame:
         """For each table: rows retained, rows of the last tick, frontier and late rows dropped. Counted from the state's files."""

@@ -90,3 +90,50 @@ def test_stream_feeds_ticks(spark, tmp_path):
     stream = spark.readStream.schema("k int, v int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     follow(e, "t", stream, [], f"file://{tmp_path}/check").trigger(availableNow=True).start().awaitTermination()
     assert e.tick == 3 and bag(e.snapshot("s")) == [("a", 11)]
+
+
+RULES = {
+    "linear_join": ("SELECT e.id, n.name FROM ev e JOIN na n ON e.k = n.k WHERE e.id > 1", None, "linear"),
+    "linear_flat": ("SELECT id, explode(array(k, id)) AS x FROM ev", None, "linear"),
+    "keyed_sum": ("SELECT k, count(*) AS n, sum(id) AS s FROM ev GROUP BY k", {"ev": ["k"]}, "keyed"),
+    "keyed_outer": ("SELECT n.name, e.id FROM na n LEFT JOIN ev e ON e.k = n.k", {"ev": ["k"], "na": ["k"]}, "keyed"),
+    "whole": ("SELECT DISTINCT k FROM ev", None, "whole"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(RULES))
+def test_rules_give_the_whole_difference(spark, tmp_path, name):
+    sql, keys, rule = RULES[name]
+    e = Engine(spark, str(tmp_path / "s"), compact_every=2)
+    e.table("ev", "id int, k int")
+    e.table("na", "k int, name string")
+    e.view("v", sql, keys)
+    assert e.rule("v")[0] == rule
+    ticks = [
+        [("ev", [(1, 1), (2, 1), (2, 1), (3, None)], 1), ("na", [(1, "a"), (2, "b"), (None, "z")], 1)],
+        [("ev", [(2, 1)], -1), ("ev", [(4, 2)], 1)],
+        [("na", [(1, "a")], -1), ("na", [(1, "c")], 1), ("ev", [(5, 1), (6, None)], 1)],
+        [],
+        [("ev", [(2, 1), (4, 2)], -1)],
+    ]
+    for tick in ticks:
+        for table, rows, weight in tick:
+            e.push(table, rows, weight)
+        e.step()
+        want = zset.minus(zset.weighted(e.snapshot("v")), zset.weighted(e.snapshot("v", e.tick - 1)))
+        assert sorted(map(repr, e.delta("v").select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    before = sorted(map(repr, e.snapshot("v").collect()))
+    e.vacuum()
+    again = Engine(spark, e.root)
+    again.table("ev", "id int, k int")
+    again.table("na", "k int, name string")
+    again.view("v", sql)
+    again.recover(5)
+    assert sorted(map(repr, e.snapshot("v").collect())) == before == sorted(map(repr, again.snapshot("v").collect()))
+
+
+def test_append_only(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.table("t", "a int", append_only=True)
+    with pytest.raises(ValueError):
+        e.push("t", [(1,)], -1)
