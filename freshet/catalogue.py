@@ -57,7 +57,7 @@ BOTH: dict[str, str] = {
     "count_star": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "count_column": "SELECT user_id, count(nullif(event_type, 'click')) AS n FROM events GROUP BY user_id",
     "count_distinct": "SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type",
-    "sum": "SELECT l_returnflag, l_linestatus, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "sum": "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "avg": "SELECT l_returnflag, avg(CAST(l_quantity AS BIGINT)) AS q FROM lineitem GROUP BY l_returnflag",
     "min_max": "SELECT o_custkey, min(o_totalprice) AS a, max(o_orderdate) AS b FROM orders GROUP BY o_custkey",
     "filter_aggregate": "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS n FROM orders GROUP BY o_custkey",
@@ -86,6 +86,32 @@ BOTH: dict[str, str] = {
     "power_sqrt_exp": "SELECT p_partkey, power(p_size, 2) AS p, sqrt(p_size) AS q FROM part",
 }
 
+BOTH |= {
+    "comma_join": "SELECT n.n_name, r.r_name FROM nation n, region r WHERE n.n_regionkey = r.r_regionkey",
+    "two_key_join": "SELECT l.l_orderkey, l.l_linenumber, s.s_name FROM lineitem l JOIN (SELECT o_orderkey, o_orderkey % 100 AS k FROM orders) o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = o.k + 1 AND s.s_suppkey < 50",
+    "null_keys_never_match": "SELECT a.k, b.n FROM (SELECT nullif(n_regionkey, 2) AS k FROM nation) a LEFT JOIN (SELECT nullif(r_regionkey, 2) AS k, r_name AS n FROM region) b ON a.k = b.k",
+    "left_join_keyless": "SELECT a.r_name AS x, b.n_name AS y FROM region a LEFT JOIN nation b ON b.n_nationkey > a.r_regionkey + 20",
+    "exists_in_projection": "SELECT c_custkey, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000) AS e FROM customer c",
+    "having_subquery": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > (SELECT count(*) / 1500 FROM orders)",
+    "sum_decimal": "SELECT l_suppkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DECIMAL(28, 2)) AS s FROM lineitem GROUP BY l_suppkey",
+    "sum_of_nothing": "SELECT event_type, CAST(sum(CASE WHEN event_type = 'click' THEN event_id END) AS BIGINT) AS s, avg(CASE WHEN event_type = 'click' THEN event_id END) AS a FROM events GROUP BY event_type",
+    "min_max_strings": "SELECT c_nationkey, min(c_name) AS a, max(c_mktsegment) AS b FROM customer GROUP BY c_nationkey",
+    "group_by_expression": "SELECT length(p_type) AS n, p_size % 3 AS m, count(*) AS c FROM part GROUP BY length(p_type), p_size % 3",
+    "filter_many": "SELECT event_type, count(*) FILTER (WHERE value > 50) AS a, count(DISTINCT user_id) FILTER (WHERE value <= 50) AS b, max(value) FILTER (WHERE user_id < 10) AS c FROM events GROUP BY event_type",
+    "rank_top_k": "SELECT p_partkey, r FROM (SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC NULLS FIRST) AS r FROM part) t WHERE r < 4",
+    "dense_rank_top_k": "SELECT p_partkey, r FROM (SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size NULLS LAST) AS r FROM part) t WHERE 3 >= r",
+    "window_sums": "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY user_id) AS BIGINT) AS s, avg(event_id) OVER (PARTITION BY user_id) AS a, min(value) OVER (PARTITION BY user_id) AS m FROM events",
+    "window_running_sum": "SELECT event_id, CAST(sum(event_id) OVER (PARTITION BY event_type ORDER BY event_id NULLS FIRST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM events",
+    "window_range_number": "SELECT p_partkey, CAST(sum(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM part",
+    "window_null_order_key": "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY nullif(user_id, 3) NULLS FIRST) AS n FROM events",
+    "order_by_hidden_key": "SELECT c_name FROM customer ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 7",
+    "union_types": "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation UNION ALL SELECT s_suppkey AS k FROM supplier",
+    "set_precedence": "SELECT n_nationkey AS k FROM nation UNION (SELECT c_nationkey AS k FROM customer INTERSECT SELECT n_regionkey AS k FROM nation)",
+    "several_ctes": "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT k FROM a WHERE n > 10) SELECT c.c_name, a.n FROM customer c JOIN a ON a.k = c.c_custkey WHERE c.c_custkey IN (SELECT k FROM b)",
+    "in_subquery_negated_null": "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT nullif(r_regionkey, 1) FROM region)",
+    "nested_case_cast": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN CAST(o_orderkey AS DOUBLE) / 4 ELSE 0.0 END AS x, CAST(o_orderkey % 2 AS BOOLEAN) AS b FROM orders",
+}
+
 PAIRS: dict[str, tuple[str, str]] = {
     "similar_to": (r"SELECT c_custkey, c_name RLIKE '^(?s:Customer#0*[1-5]+)$' AS s FROM customer", "SELECT c_custkey, regexp_full_match(c_name, 'Customer#0*[1-5]+') AS s FROM customer"),
     "regexp_like": ("SELECT c_custkey, c_name RLIKE '[13579]$' AS s FROM customer", "SELECT c_custkey, regexp_matches(c_name, '[13579]$') AS s FROM customer"),
@@ -127,6 +153,12 @@ PAIRS |= {
     "date_trunc_date": ("SELECT o_orderkey, CAST(date_trunc('WEEK', CAST(o_orderdate AS DATE)) AS DATE) AS w FROM orders", "SELECT o_orderkey, CAST(date_trunc('week', CAST(o_orderdate AS DATE)) AS DATE) AS w FROM orders"),
     "full_join_keyless": ("SELECT a.r_name AS x, b.n_name AS y FROM region a FULL JOIN (SELECT * FROM nation WHERE n_nationkey < 3) b ON a.r_regionkey > b.n_nationkey + 2", "SELECT a.r_name AS x, b.n_name AS y FROM region a FULL JOIN (SELECT * FROM nation WHERE n_nationkey < 3) b ON a.r_regionkey > b.n_nationkey + 2"),
     "flat_map": ("SELECT c_custkey, explode(split(c_name, '#')) AS part FROM customer", "SELECT c_custkey, unnest(string_split(c_name, '#')) AS part FROM customer"),
+    "tumble_rows": ("SELECT event_id, w.start AS window_start, w.end AS window_end FROM (SELECT event_id, window(ts, '1 hour') AS w FROM events) t", "SELECT event_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end FROM events"),
+    "hop_rows": ("SELECT event_id, w.start AS window_start FROM (SELECT event_id, window(ts, '3 hours', '1 hour') AS w FROM events) t", "SELECT event_id, time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL (k) HOUR AS window_start FROM events, range(3) r(k)"),
+    "rlike_negated": ("SELECT c_custkey FROM customer WHERE NOT c_name RLIKE '[02468]$'", "SELECT c_custkey FROM customer WHERE NOT regexp_matches(c_name, '[02468]$')"),
+    "timestamp_difference": ("SELECT o_orderkey, CAST(timestampdiff(SECOND, TIMESTAMP_NTZ '1990-01-01 00:00:00', o_orderdate) AS BIGINT) AS s FROM orders", "SELECT o_orderkey, CAST(date_diff('second', TIMESTAMP '1990-01-01 00:00:00', o_orderdate) AS BIGINT) AS s FROM orders"),
+    "variance_forms": ("SELECT user_id, round(stddev_pop(value), 6) AS a, round(var_samp(value), 4) AS b FROM events GROUP BY user_id HAVING count(*) > 1", "SELECT user_id, round(stddev_pop(value), 6) AS a, round(var_samp(value), 4) AS b FROM events GROUP BY user_id HAVING count(*) > 1"),
+    "percentile_descending": ("SELECT event_type, percentile_disc(0.25) WITHIN GROUP (ORDER BY event_id DESC) AS d FROM events GROUP BY event_type", "SELECT event_type, CAST(quantile_disc(event_id, 0.25 ORDER BY event_id DESC) AS DOUBLE) AS d FROM events GROUP BY event_type"),
 } | auctions.PAIRS
 #: Estimates: no SQL gives the very same numbers.
 ESTIMATES: dict[str, str] = {
