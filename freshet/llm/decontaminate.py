@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,19 +16,99 @@ from .common import mix, others, pick, steps, utf8
 
 HIT = "item_id long, piece int, start long, stop long, edits int"
 
-#: ASCII letters and digits stay (letters in lower case), as do bytes of other characters; all else parts words.
+#: ASCII letters and digits stay (letters in lower case), as do bytes of other characters (folded before); all else parts words.
 _PLAIN = np.full(256, 32, np.uint8)
 _PLAIN[48:58], _PLAIN[97:123], _PLAIN[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
 _PLAIN[65:91] = np.arange(97, 123)
 
 
-def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words parted by one space, the rows' new offsets, and where each byte stood."""
-    low = _PLAIN[data]
+#: Characters from here on neither fold nor combine (beyond the last compatibility ideographs).
+_FOLDS = 0x30000
+
+
+def folded(text: str) -> str:
+    """text with case folded in all scripts, in composed form."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).casefold())
+
+
+@functools.cache
+def _folds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each character: whether it may merge with those before it, how many bytes it folds to (0 where it stays), and these bytes."""
+    joins, size, out = np.zeros(_FOLDS, bool), np.zeros(_FOLDS, np.int64), np.zeros((_FOLDS, 12), np.uint8)
+    joins[0x1161:0x1176] = joins[0x11A8:0x11C3] = True  # Hangul vowels and finals
+    for c in (*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, _FOLDS)):  # without ideographs and whole Hangul
+        char = chr(c)
+        parts = unicodedata.decomposition(char)
+        if parts and parts[0] != "<" and " " in parts:
+            joins[int(parts.split()[1], 16)] = True
+        joins[c] |= unicodedata.combining(char) > 0
+        if (low := folded(char)) != char:
+            raw = low.encode()
+            size[c], out[c, : len(raw)] = len(raw), list(raw)
+    return joins, size, out
+
+
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """The rows' bytes with case folded and characters composed outside ASCII, and the first byte and the end of what each came from; None if all stays."""
+    lead = np.flatnonzero(data >= 0xC0)
+    if not len(lead):
+        return None
+    joins, size, out = _folds()
+    long = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    b0, b1, b2, b3 = (long[lead + i] for i in range(4))
+    code = np.where(b0 < 0xE0, (b0 & 31) << 6 | b1 & 63, np.where(b0 < 0xF0, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63))
+    width = np.where(b0 < 0xE0, 2, np.where(b0 < 0xF0, 3, 4))
+    code = np.where(code < _FOLDS, code, 0)
+    changed = np.flatnonzero(size[code])
+    single = lead[changed], width[changed], size[code[changed]], out[code[changed]]
+    marks = np.flatnonzero(joins[code])
+    if len(marks):  # with what they follow, they are folded as one
+        begin, end = lead[marks], lead[marks] + width[marks]
+        base = begin - 1
+        for _ in range(3):
+            base = np.where((base > 0) & (data[base] & 0xC0 == 0x80), base - 1, base)
+        begin = np.where(np.isin(begin, offsets), begin, np.maximum(base, 0))
+        first = np.flatnonzero(np.append(True, begin[1:] >= end[:-1]))
+        begin, end = begin[first], np.append(end[first[1:] - 1], end[-1])
+        raw = [folded(data[a:z].tobytes().decode(errors="replace")).encode() for a, z in zip(begin.tolist(), end.tolist())]
+        k = np.searchsorted(begin, single[0], side="right") - 1
+        apart = (k < 0) | (single[0] >= end[k])
+        sizes = np.array([len(r) for r in raw])
+        table = np.zeros((len(raw), max(12, sizes.max())), np.uint8)
+        for i, r in enumerate(raw):
+            table[i, : len(r)] = list(r)
+        wide = np.zeros((int(apart.sum()), table.shape[1]), np.uint8)
+        wide[:, :12] = single[3][apart]
+        single = np.append(single[0][apart], begin), np.append(single[1][apart], end - begin), np.append(single[2][apart], sizes), np.concatenate([wide, table])
+    at, old, new, table = single
+    if not len(at):
+        return None
+    if (old == new).all():
+        low, far = data.copy(), np.arange(len(data))
+        for i in range(int(new.max())):
+            low[at[new > i] + i] = table[new > i, i]
+        return low, far, far + 1
+    count = np.ones(len(data), np.int64)
+    for i in range(1, int(old.max())):
+        count[at[old > i] + i] = 0
+    count[at] = new
+    first = np.repeat(np.arange(len(data)), count)
+    low, last, place = data[first], first + 1, (np.cumsum(count) - count)[at]
+    for i in range(int(new.max())):
+        has = new > i
+        low[place[has] + i], last[place[has] + i] = table[has, i], at[has] + old[has]
+    return low, first, last
+
+
+def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Case-folded words parted by one space, the rows' new offsets, and the first byte and the end of what each byte stands for."""
+    low, first, last = fold(data, offsets) or (data, None, None)
+    low = _PLAIN[low]
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 32) | (low[:-1] != 32)
     at = np.flatnonzero(keep)
-    return low[at], np.searchsorted(at, offsets), at
+    first, last = (at, at + 1) if first is None else (first[at], last[at])
+    return low[at], np.searchsorted(first, offsets), first, last
 
 
 def grams(data: np.ndarray, q: int) -> np.ndarray:
@@ -93,7 +175,7 @@ class GramIndex:
         cut, items, numbers = [], [], []
         for item, text in rows:
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            p, _, _ = plain(raw, np.array([0, len(raw)]))
+            p, _, _, _ = plain(raw, np.array([0, len(raw)]))
             p = p[int(len(p) > 0 and p[0] == 32) : len(p) - int(len(p) > 1 and p[-1] == 32)]
             if len(p) < max(q, shortest):
                 continue
@@ -118,7 +200,7 @@ class GramIndex:
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, piece, start, stop, edits) of the pieces found, in bytes of the row's text; the best place of each piece in a row."""
-        text, ends, came = plain(data, offsets)
+        text, ends, came, gone = plain(data, offsets)
         codes = grams(text, self.q)
         if not len(codes) or not len(self.codes):
             return []
@@ -152,14 +234,15 @@ class GramIndex:
             same = region.tobytes().find(m.tobytes())
             got = (0, same, same + len(m)) if same >= 0 else banded_edits(m, region, lo - a, hi - a, e)
             if got and got < best.get((r, p), (1 << 20,)):
-                best[r, p] = (got[0], int(came[a + got[1]] - offsets[r]), int(came[a + got[2] - 1] + 1 - offsets[r]))
+                best[r, p] = (got[0], int(came[a + got[1]] - offsets[r]), int(gone[a + got[2] - 1] - offsets[r]))
         return [(r, int(self.items[p]), int(self.numbers[p]), s, t, e) for (r, p), (e, s, t) in sorted(best.items())]
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", q: int = 8, rate: float = 0.08, piece: int = 100, shortest: int = 24, least: int = 16, block_bytes: int = 4 << 20) -> DataFrame:
     """df with leaks: an array of (item_id, piece, start, stop, edits) for the benchmark pieces found in each whole text.
 
-    Texts are compared as lower-cased words parted by single spaces (other ASCII characters part words). Items of 1.5 * piece
+    Texts are compared as words parted by single spaces (other ASCII characters part words), case folded in all scripts and
+    characters composed (NFC); start and stop are bytes of the text as it came. Items of 1.5 * piece
     bytes or more are cut into pieces of that length, each half over the next, so that a passage of that length is found
     where only part of an item leaked; shorter ones are one piece. A piece is found where rate of its bytes in edits suffice.
 
