@@ -120,34 +120,39 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def banded_edits(piece: np.ndarray, region: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
-    """The least edits that turn piece into some part of region whose path keeps to the diagonals low to high (place in region minus place in piece).
+def banded_edits(pieces: np.ndarray, text: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, budget: int) -> list[tuple[int, int, int] | None]:
+    """For each of the pieces (rows, equally long), the least edits that turn it into some part of text[first:last] whose path keeps to the width diagonals from low on (place in text minus place in piece).
 
     (edits, start, stop) of the first best part, None if it takes more than budget edits.
     """
-    width, far = high - low + 1, 1 << 20
-    d = np.arange(low, high + 1)  # column of the region at row 0
-    cost = np.where((d >= 0) & (d <= len(region)), 0, far)
-    start, lane = d.copy(), np.arange(width)
-    padded = np.full(len(region) + len(piece) + 2 * width + abs(low) + 4, 256, np.int16)
-    shift = max(0, -low) + 1
-    padded[shift : shift + len(region)] = region
-    for i, c in enumerate(piece):
-        j = d + i  # region byte read by a step along the diagonal
-        valid = (j >= 0) & (j < len(region))
-        same = cost + np.where(valid & (padded[np.clip(j + shift, 0, len(padded) - 1)] == c), 0, np.where(valid, 1, far))
-        drop = np.append(cost[1:], far) + 1  # a byte of the piece that the region lacks
-        best = np.minimum(same, drop)
-        begin = np.where(same <= drop, start, np.append(start[1:], 0))
-        run = best - lane  # bytes of the region that the piece lacks
-        least = np.minimum.accumulate(run)
-        source = np.maximum.accumulate(np.where(run == least, lane, 0))
-        inside = (j + 1 >= 0) & (j + 1 <= len(region))
-        cost, start = np.where(inside, least + lane, far), begin[source]
-        if cost.min() > budget:
-            return None
-    k = int(cost.argmin())
-    return (int(cost[k]), int(start[k]), int(d[k] + len(piece))) if cost[k] <= budget else None
+    (many, m), far, lane = pieces.shape, 1 << 20, np.arange(width, dtype=np.int32)
+    column = low[:, None] + np.arange(width + m)
+    read = np.where((column >= first[:, None]) & (column < last[:, None]), text[np.clip(column, 0, len(text) - 1)].astype(np.int16), np.int16(256))
+    inside = (column >= first[:, None]) & (column <= last[:, None])
+    out: list[tuple[int, int, int] | None] = [None] * many
+    alive = np.arange(many)
+    cost = np.where(inside[:, :width], 0, far).astype(np.int32)
+    start = np.tile(lane, (many, 1))
+    for i in range(m):
+        here = read[:, i : i + width]
+        same = cost + np.where(here == 256, far, here != pieces[:, i, None])
+        drop = np.full_like(cost, far)  # a byte of the piece that the text lacks
+        drop[:, :-1] = cost[:, 1:] + 1
+        begin = start.copy()
+        begin[:, :-1] = np.where(same <= drop, start, np.roll(start, -1, 1))[:, :-1]
+        run = np.minimum(same, drop) - lane  # bytes of the text that the piece lacks
+        least = np.minimum.accumulate(run, 1)
+        source = np.maximum.accumulate(np.where(run == least, lane, 0), 1)
+        cost, start = np.where(inside[:, i + 1 : i + 1 + width], least + lane, far).astype(np.int32), np.take_along_axis(begin, source, 1)
+        able = cost.min(1) <= budget
+        if not able.any():
+            return out
+        if not able.all():
+            pieces, read, inside, cost, start, alive = (x[able] for x in (pieces, read, inside, cost, start, alive))
+    for c, k in zip(range(len(alive)), cost.argmin(1).tolist()):
+        begins = int(low[alive[c]])
+        out[alive[c]] = int(cost[c, k]), begins + int(start[c, k]), begins + k + m
+    return out
 
 
 @dataclass
@@ -156,6 +161,7 @@ class GramIndex:
 
     A piece of m bytes may take e = floor(rate * m) edits, each of which spoils q of its q-grams at most. So of any s of its
     q-grams, s - q * e stay, on diagonals that lie within e of another. Only the s = q * e + least rarest ones are looked up.
+    As the pieces of an item overlap, a text's q-grams are first counted on the diagonals of whole items, where each stands once.
     """
 
     q: int
@@ -168,20 +174,27 @@ class GramIndex:
     first: np.ndarray  # into piece_of, offset_of; one more than codes
     piece_of: np.ndarray
     offset_of: np.ndarray
+    whole_first: np.ndarray  # into whole_of, whole_at; one more than codes
+    whole_of: np.ndarray  # the item's place among all items
+    whole_at: np.ndarray
+    whole_width: np.ndarray
+    whole_needed: np.ndarray
     sieve: np.ndarray
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], q: int, rate: float, piece: int, shortest: int, least: int) -> GramIndex:
-        cut, items, numbers = [], [], []
-        for item, text in rows:
+        cut, items, numbers, wholes, begins = [], [], [], [], []
+        for whole, (item, text) in enumerate(rows):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             p, _, _, _ = plain(raw, np.array([0, len(raw)]))
             p = p[int(len(p) > 0 and p[0] == 32) : len(p) - int(len(p) > 1 and p[-1] == 32)]
             if len(p) < max(q, shortest):
                 continue
-            starts = [0] if len(p) < piece * 3 // 2 else [*range(0, len(p) - piece, piece // 2), len(p) - piece]
-            for k, s in enumerate(starts):
-                cut.append(p[s : s + piece] if len(starts) > 1 else p), items.append(item), numbers.append(k)
+            parts = [(0, len(p))] if len(p) < piece * 3 // 2 else []
+            if len(p) > piece:
+                parts += [(s, s + piece) for s in (*range(0, len(p) - piece, max(1, piece // 10)), len(p) - piece)]
+            for k, (a, z) in enumerate(parts):
+                cut.append(p[a:z]), items.append(item), numbers.append(k), wholes.append(whole), begins.append(a)
         budgets = np.array([min(int(rate * len(p)), (len(p) - q + 1 - 1) // q) for p in cut], np.int64)
         all_codes = [grams(p, q) for p in cut]
         flat = np.concatenate(all_codes) if cut else np.zeros(0, np.uint64)
@@ -194,9 +207,30 @@ class GramIndex:
         codes, piece_of, offset_of = (np.concatenate(x) if cut else np.zeros(0, np.int64) for x in (codes, piece_of, offset_of))
         order = np.argsort(codes, kind="stable")
         unique, first = np.unique(codes[order], return_index=True)
+        wholes, begins, needed = np.array(wholes, np.int64), np.array(begins, np.int64), np.array(needed, np.int64)
+        width, fewest = np.zeros(len(rows), np.int64), np.full(len(rows), 1 << 40)
+        np.maximum.at(width, wholes, 2 * (budgets + 1))  # as wide as two bands of any of its pieces
+        np.minimum.at(fewest, wholes, needed)
+        known = np.repeat(np.arange(len(unique)), np.diff(np.append(first, len(codes))))
+        once = np.unique(np.stack([known, wholes[piece_of[order]], begins[piece_of[order]] + offset_of[order]], 1), axis=0) if cut else np.zeros((0, 3), np.int64)
+        whole_first = np.searchsorted(once[:, 0], np.arange(len(unique) + 1))
         sieve = np.zeros(1 << 20, bool)
         sieve[(mix(unique.astype(np.uint64)) >> np.uint64(44)).astype(np.int64)] = True
-        return cls(q, np.array(items), np.array(numbers), cut, budgets, np.array(needed), unique.astype(np.uint64), np.append(first, len(codes)), piece_of[order], offset_of[order], sieve)
+        return cls(q, np.array(items), np.array(numbers), cut, budgets, needed, unique.astype(np.uint64), np.append(first, len(codes)), piece_of[order], offset_of[order], whole_first, once[:, 1], once[:, 2], width, fewest, sieve)
+
+    def near(self, at: np.ndarray, k: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Which q-grams (place, code, row) have as many others near their diagonal of some item as its least demanding piece needs."""
+        n = self.whole_first[k + 1] - self.whole_first[k]
+        entry = np.repeat(self.whole_first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        came, item = np.repeat(np.arange(len(at)), n), self.whole_of[entry]
+        band = np.floor_divide(at[came] - self.whole_at[entry], self.whole_width[item])
+        if not len(band):
+            return came
+        least = int(band.min()) - 1
+        key = (row[came] * len(self.whole_width) + item) * (int(band.max()) - least + 1) + (band - least)
+        both, place, count = np.unique(np.concatenate([key, key - 1]), return_inverse=True, return_counts=True)
+        place = place.reshape(2, -1)
+        return np.unique(came[(np.maximum(count[place[0]], count[place[1]])) >= self.whole_needed[item]])
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, piece, start, stop, edits) of the pieces found, in bytes of the row's text; the best place of each piece in a row."""
@@ -211,6 +245,8 @@ class GramIndex:
         row = np.searchsorted(ends, at, side="right") - 1
         whole = at + self.q <= ends[row + 1]
         at, k, row = at[whole], k[whole], row[whole]
+        near = self.near(at, k, row)
+        at, k, row = at[near], k[near], row[near]
         n = self.first[k + 1] - self.first[k]
         entry = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         piece, diagonal, row = self.piece_of[entry], np.repeat(at, n) - self.offset_of[entry], np.repeat(row, n)
@@ -224,17 +260,27 @@ class GramIndex:
         key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
         key = np.stack([key // spread // many, key // spread % many, key % spread + least], 1)
         best: dict[tuple[int, int], tuple] = {}
+        rest: dict[tuple[int, int], list] = {}
         for r, p, b in key[count >= self.needed[key[:, 1]]].tolist():
             e, w, m = int(self.budgets[p]), int(self.budgets[p]) + 1, self.pieces[p]
             lo, hi = b * w - e, (b + 2) * w - 1 + e
             a, z = max(int(ends[r]), lo), min(int(ends[r + 1]), hi + len(m) + 1)
             if z <= a or best.get((r, p), (1,))[0] == 0:
                 continue
-            region = text[a:z]
-            same = region.tobytes().find(m.tobytes())
-            got = (0, same, same + len(m)) if same >= 0 else banded_edits(m, region, lo - a, hi - a, e)
-            if got and got < best.get((r, p), (1 << 20,)):
-                best[r, p] = (got[0], int(came[a + got[1]] - offsets[r]), int(gone[a + got[2] - 1] - offsets[r]))
+            same = text[a:z].tobytes().find(m.tobytes())
+            if same >= 0:
+                best[r, p] = (0, a + same, a + same + len(m))
+            else:
+                rest.setdefault((len(m), e), []).append((r, p, lo, a, z))
+        for (_, e), group in rest.items():
+            group = [g for g in group if best.get(g[:2], (1,))[0]]
+            for i in range(0, len(group), 512):
+                some = group[i : i + 512]
+                low, a, z = (np.array(x, np.int64) for x in list(zip(*some))[2:])
+                for (r, p, *_), got in zip(some, banded_edits(np.stack([self.pieces[g[1]] for g in some]), text, low, a, z, 4 * e + 2, e)):
+                    if got and got < best.get((r, p), (1 << 20,)):
+                        best[r, p] = got
+        best = {(r, p): (e, int(came[s] - offsets[r]), int(gone[t - 1] - offsets[r])) for (r, p), (e, s, t) in best.items()}
         return [(r, int(self.items[p]), int(self.numbers[p]), s, t, e) for (r, p), (e, s, t) in sorted(best.items())]
 
 
@@ -242,9 +288,12 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
     """df with leaks: an array of (item_id, piece, start, stop, edits) for the benchmark pieces found in each whole text.
 
     Texts are compared as words parted by single spaces (other ASCII characters part words), case folded in all scripts and
-    characters composed (NFC); start and stop are bytes of the text as it came. Items of 1.5 * piece
-    bytes or more are cut into pieces of that length, each half over the next, so that a passage of that length is found
-    where only part of an item leaked; shorter ones are one piece. A piece is found where rate of its bytes in edits suffice.
+    characters composed (NFC); start and stop are bytes of the text as it came. Items longer than
+    piece bytes are cut into pieces of that length, one begun every tenth of it; those under 1.5 * piece bytes (or no longer than
+    one piece) are also looked for whole. A piece is found where rate of its bytes in edits suffice. So where only part of an item
+    leaked, any piece bytes of it lie within a twentieth of piece of one (5 of the 8 edits that 100 bytes may take, so 3 more
+    are borne wherever the part begins), and from 1.1 * piece bytes on they hold a whole one. Shorter parts may be missed, as
+    may parts of items no longer than a piece that lack more than rate of it.
 
     Items that are null or have fewer than shortest such bytes are too short to tell a leak and are left out. Null and
     empty texts have no leaks; repeated rows get equal results; an empty table or benchmark gives no leaks; an input column

@@ -114,6 +114,16 @@ def test_leaks(spark, docs):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(TEXTS) + 1
 
 
+def test_leaks_excerpts(spark):
+    long, brief = " ".join(f"{w}q{i}" for i, w in enumerate(WORDS[:70])), " ".join(f"{w}z{i}" for i, w in enumerate(WORDS[100:118]))
+    assert len(long) > 400 and 120 < len(brief) < 150
+    scattered = "".join("#" if i in range(41, 100, 6) else c for i, c in enumerate(brief)).replace("#", "y")
+    rows = [(i, o, f"xyz {t[o : o + 100]} zyx") for i, t in ((1, long), (2, brief)) for o in range(len(t) - 99)] + [(2, -1, scattered)]
+    bench = spark.createDataFrame([(1, long), (2, brief)], "item_id long, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(rows, "item long, at long, text string"), bench).collect()
+    assert len(got) == len(rows) and all({x.item_id for x in r.leaks} == {r.item} for r in got)
+
+
 def test_leaks_case(spark):
     import unicodedata
 
