@@ -137,27 +137,32 @@ def style_tree(pages: DataFrame) -> DataFrame:
     A content node's importance is the entropy of its texts over the host, as a part of the greatest possible: 0 where all
     pages say the same, 1 where each says something else. A presentation node (a branch) takes the mean of the nodes below,
     weighted by their texts, and of its own variety of styles: the entropy of what follows in it. Equal texts of one page
-    count once; partial aggregates by text keep hot hosts spread over the tasks.
+    count once, as do pages of a host whose blocks are all the same, so copies of a page don't pass for a template; pages
+    count the different ones. Partial aggregates by page and by text keep hot hosts spread over the tasks.
     """
 
     def rows(it):
         for rb in it:
-            out: dict[tuple, int] = {}
+            seen: dict[tuple, tuple[list, list]] = {}
             for host, page in zip(rb.column(0).to_pylist(), rb.column(1)):
-                seen = set()
-                for path, noise, _, text in walk(page.as_py() or ""):
-                    if noise:
-                        continue
+                blocks = [(path, text) for path, noise, _, text in walk(page.as_py() or "") if not noise]
+                digest = xxhash.xxh3_128_intdigest("\0".join(x for path, text in blocks for x in ("/".join(path), text)))
+                if (k := (host, digest)) in seen:
+                    continue
+                pairs = {}
+                for path, text in blocks:
                     content = xxhash.xxh3_64_intdigest(text) - (1 << 63)
                     for depth in range(1, len(path) + 1):  # each branch above shares the text's variety
-                        k = (host, _key(path[:depth]), content)
-                        if k not in seen:
-                            seen.add(k)
-                            out[k] = out.get(k, 0) + 1
-            h, n, c = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(list(out.values()), pa.int64())], names=["host", "node", "content", "c"])
-
-    counts = pages.select("host", "html").mapInArrow(rows, "host string, node long, content long, c long").groupBy("host", "node", "content").agg(F.sum("c").alias("c"))
+                        pairs[_key(path[:depth]), content] = None
+                seen[k] = [n for n, _ in pairs], [c for _, c in pairs]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in seen], pa.string()), pa.array([(d >> 64) - (1 << 63) for _, d in seen], pa.int64()), pa.array([(d & ((1 << 64) - 1)) - (1 << 63) for _, d in seen], pa.int64()), *(pa.array([v[i] for v in seen.values()], pa.list_(pa.int64())) for i in (0, 1))],
+                names=["host", "d0", "d1", "nodes", "contents"],
+            )
+
+    each = pages.select("host", "html").mapInArrow(rows, "host string, d0 long, d1 long, nodes array<long>, contents array<long>")
+    each = each.groupBy("host", "d0", "d1").agg(F.first(F.arrays_zip("nodes", "contents")).alias("z")).select("host", F.explode("z").alias("z"))
+    counts = each.groupBy("host", F.col("z.nodes").alias("node"), F.col("z.contents").alias("content")).agg(F.count("*").alias("c"))
     per = counts.groupBy("host", "node").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = F.log("pages") - F.col("s") / F.col("pages")
     return per.select("host", "node", "pages", F.when(F.col("pages") > 1, entropy / F.log("pages")).otherwise(1.0).alias("importance"))
@@ -182,7 +187,7 @@ def main_text(page: str, low: frozenset | set) -> str:
 def extract(df: DataFrame, *, page: str = "html", url: str = "url", least_pages: int = 8, threshold: float = 0.15) -> DataFrame:
     """df with text (the article of each page) and n_chars (its code points).
 
-    First each host's pages are merged into a style tree; nodes seen on least_pages pages or more whose importance is below
+    First each host's different pages are merged into a style tree; nodes seen on least_pages of them or more whose importance is below
     threshold go from every page of the host, but for plain elements of an article or main element. Scripts, menus, headers,
     footers, sidebars, notices, adverts, forms and comments go by their kind of element or the words in class, id and role.
     What is left of the article or main elements, or of the whole page if there are none, is the text: character references

@@ -159,6 +159,17 @@ def test_html(spark):
     assert all("Same for all" not in t and len(t.split()) == 9 for t in texts)
 
 
+def test_html_copies(spark):
+    def page(title, body, nonce=0):
+        return f"<script>{nonce}</script><body><div class='box'>Same for all</div><div class='post'><h1>{title}</h1><div class='t'>{body}</div></div>"
+
+    rows = [(i, "http://copies.x/", page("One", "one body", i)) for i in range(60)] + [(60 + i, "http://copies.x/", page(f"T{i}", f"body {i}")) for i in range(9)]
+    rows += [(100 + i, "http://same.x/", page("Two", "two body")) for i in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == "One one body" for i in range(60)) and all(got[60 + i] == f"T{i} body {i}" for i in range(9))
+    assert all("Two two body" in got[100 + i] for i in range(8))
+
+
 def test_warc(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb\n"
     rows = [(1, "http://a/\nx", tricky), (2, None, tricky), (3, "u", None), (4, "u", ""), (5, "u", "é"), (5, "u", "é")]
