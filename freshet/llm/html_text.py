@@ -135,8 +135,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
     """pages (host, html) -> (host, node, pages, importance) of each host's merged tree, for branches that no kind or name gives away.
 
     A content node's importance is the entropy of its texts over the host, as a part of the greatest possible: 0 where all
-    pages say the same, 1 where each says something else. A presentation node (a branch) takes the mean of the nodes below,
-    weighted by their texts, and of its own variety of styles: the entropy of what follows in it. Equal texts of one page
+    pages say the same, 1 where each says something else. A presentation node (a branch) takes the entropy of all texts
+    below it; only content counts, no entropy of styles or of the sequences of children is worked out. Equal texts of one page
     count once, as do pages of a host whose blocks are all the same, so copies of a page don't pass for a template; pages
     count the different ones. Partial aggregates by page and by text keep hot hosts spread over the tasks.
     """
