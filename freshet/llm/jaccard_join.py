@@ -1,4 +1,10 @@
-"""Exact n-gram Jaccard self-join by PartEnum signatures."""
+"""Exact n-gram Jaccard self-join by PartEnum signatures.
+
+Sets of nearly equal size that are similar enough differ in k elements at most (labels_of). The domain is dealt into n1
+partitions by hash, and each of these into PARTS smaller ones. In some of the n1, the two sets differ in SPOILT = 1 smaller
+partition at most, so they agree in some PARTS - SPOILT smaller ones of it. Each set signs with every such choice: the hash of
+its elements in them. Sets that share no signature can't be similar enough.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_rows, mix, others, pick, shingles_of, small, steps, text_key, trim, utf8
@@ -14,13 +20,19 @@ from .graph import components
 
 RATIO = 2.0  # of a size band's ends
 SLACK = 1.2  # partitions over the least number
+#: Smaller partitions of each partition, and how many of them may differ. A signature covers all but SPOILT of them.
+PARTS, SPOILT = 3, 1
 MADE = ("n_shingles", "component_id")
 #: Groups of one signature up to this size give all their pairs, larger ones a star at first.
 GROUP = 64
+#: Members of a large group that meet its strays in one task.
+BLOCK = 512
 #: Texts, or pairs of sets, that Python holds at a time.
 BATCH = 2000
 #: Entries in a row that is shuffled.
-PACKET = 4096
+PACKET = 1 << 15
+#: Bits of a signature beside those that its bucket stands for.
+BITS = 40
 #: 64-bit words of a set's parity sketch.
 SKETCH = 16
 
@@ -43,11 +55,12 @@ def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
 
 @functools.lru_cache(1 << 16)
 def labels_of(n: int, percent: int) -> list[tuple[int, int, int]]:
-    """(label, most differences, partitions) of the size bands in which a set of n takes part.
+    """(label, most differences k, partitions n1) of the size bands in which a set of n takes part.
 
     Band j holds sizes from RATIO**j up to RATIO**(j + 1). Two sets of one band meet under label 2 * j. Sets of bands j and
     j + 1 can only be similar if both lie near the bound between them; they meet under 2 * j + 1. A pair with sizes n and m
-    that is similar enough differs in (n + m) * (100 - percent) / (100 + percent) elements at most.
+    that is similar enough differs in (n + m) * (100 - percent) / (100 + percent) elements at most; n1 is so large that some
+    partition has no more than SPOILT of k differences.
     """
     rate = (100 - percent) / (100 + percent)
     j = int(np.floor(np.log(n) / np.log(RATIO) + 1e-9))
@@ -57,27 +70,39 @@ def labels_of(n: int, percent: int) -> list[tuple[int, int, int]]:
         out.append((2 * j + 1, int(rate * (high + high * 100 / percent))))
     if j and n * percent <= low * 100:
         out.append((2 * j - 1, int(rate * (low + low * 100 / percent))))
-    return [(label, k, int(SLACK * (k + 1)) + 2) for label, k in out]
+    return [(label, k, int(SLACK * (k // (SPOILT + 1) + 1)) + (k > 0)) for label, k in out]
+
+
+class Frequent:
+    """Frequent elements (sorted) and how frequent each is: left out of signatures, last in prefixes."""
 
+    def __init__(self, elements: np.ndarray, counts: np.ndarray):
+        order = np.argsort(elements)
+        self.elements, self.counts = elements[order], counts[order]
 
-def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
-    """The signatures of filled sets, the set of each, and for each set (label, sure): how many of that label's it shares at least with a similar set, less one for each element in which they differ.
+    def of(self, elements: np.ndarray) -> np.ndarray:
+        """The counts of these elements, 0 for those that are not frequent."""
+        if not len(self.elements):
+            return np.zeros(len(elements), np.int64)
+        at = np.minimum(np.searchsorted(self.elements, elements), len(self.elements) - 1)
+        return np.where(self.elements[at] == elements, self.counts[at], 0)
 
-    The domain is dealt into partitions by hash. Elements in frequent are left out, which can only take differences away. Of
-    a similar pair's partitions no more are unlike than it has differences, so each set shares all but that many of its
-    filled partitions. Where that guarantees none (few elements are left), the set also signs with its prefix: the first
-    elements in hash order, of which two similar sets always share one; if it happens to both of a pair, they meet there,
-    and if to one only, the other's guarantee holds.
+
+def signatures(sets: list[np.ndarray], percent: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """The signatures of filled sets, the set of each, and for each set (label, sure): in how many of that label's partitions all its choices hold elements.
+
+    Frequent elements are left out, which can only take differences away. Of n1 partitions, k differences spoil k / (SPOILT + 1)
+    at most (more than SPOILT in each), so a set that fills more shares a signature that is not empty with every similar
+    set. A set that doesn't (few elements are left) also signs with its prefix: the first elements in the order of rarity, then
+    hash, of which two similar sets always share one; if it happens to both of a pair, they meet there, and if to one only,
+    the other's guarantee holds.
     """
     if not sets:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), []
     size = np.array([len(s) for s in sets], np.int64)
     whole, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    if len(frequent):
-        rare = frequent[np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)] != whole
-        left, row = whole[rare], row[rare]
-    else:
-        left = whole
+    often = frequent.of(whole)
+    left, row = whole[often == 0], row[often == 0]
     count = np.bincount(row, minlength=len(sets))
     first = np.cumsum(count) - count
     bands = [(i, *b) for i, n in enumerate(size.tolist()) for b in labels_of(n, percent)]
@@ -85,25 +110,36 @@ def signatures(sets: list[np.ndarray], percent: int, frequent: np.ndarray) -> tu
     n = count[of]
     lane = np.repeat(np.arange(len(of)), n)
     at = np.repeat(first[of] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    part = (mix(left[at] + label.astype(np.uint64)[lane]) % parts.astype(np.uint64)[lane]).astype(np.int64)
-    key = (lane << 32) | part
-    order = np.argsort(key)
-    key = key[order]
-    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.zeros(0, np.int64)
-    sums = np.cumsum(mix(left)[at][order])[ends]
-    total = np.diff(np.append(np.zeros(1, np.uint64), sums))
-    lane, part = key[ends] >> 32, key[ends] & 0xFFFFFFFF
-    sig = mix(total + mix(part.astype(np.uint64) + (label.astype(np.uint64)[lane] << np.uint64(32))))
-    filled = np.bincount(lane, minlength=len(of))
+    scattered = mix(left[at] + label.astype(np.uint64)[lane])
+    begins = np.cumsum(parts) - parts
+    cell = (begins[lane] + ((scattered >> np.uint64(8)) % parts.astype(np.uint64)[lane]).astype(np.int64)) * PARTS + (scattered & np.uint64(0xFF)).astype(np.int64) % PARTS
+    total, filled = np.zeros(int(parts.sum()) * PARTS, np.uint64), np.zeros(int(parts.sum()) * PARTS, bool)
+    np.add.at(total, cell, mix(left)[at])
+    filled[cell] = True
+    total, filled = total.reshape(-1, PARTS), filled.reshape(-1, PARTS)
+    band = np.repeat(np.arange(len(of)), parts)
+    own = mix((label[band] << 32 | np.arange(len(band)) - begins[band]).astype(np.uint64))
+    total = np.where(filled, mix(total + np.arange(PARTS, dtype=np.uint64) * np.uint64(0x5BF03635)), 0)
+    sigs, owners, every = [], [], np.ones(len(band), bool)
+    for spoilt in range(PARTS):  # the choices: all smaller partitions but one
+        choice = [i for i in range(PARTS) if i != spoilt]
+        has = filled[:, choice].any(1)
+        every &= has
+        sigs.append(mix(total[:, choice].sum(1)[has] + own[has] + np.uint64(spoilt)))
+        owners.append(of[band[has]])
+    sure_of = np.bincount(band[every], minlength=len(of))
     sure: list[list[tuple[int, int]]] = [[] for _ in sets]
-    for i, b, f in zip(of.tolist(), label.tolist(), filled.tolist()):
+    for i, b, f in zip(of.tolist(), label.tolist(), sure_of.tolist()):
         sure[i].append((b, f))
     rate = (100 - percent) / (100 + percent)
     widest = (rate * (size + size * 100 / percent)).astype(np.int64)
-    unsure = np.unique(of[filled <= np.minimum(most, widest[of])])
-    heads = [sets[i][: len(sets[i]) - -(-len(sets[i]) * percent // 100) + 1] for i in unsure.tolist()]
+    unsure = np.unique(of[sure_of <= np.minimum(most, widest[of]) // (SPOILT + 1)])
+    heads, begin = [], np.cumsum(size) - size
+    for i in unsure.tolist():
+        mine, its = sets[i], often[begin[i] : begin[i] + size[i]]
+        heads.append(mine[np.lexsort((mine, its))[: len(mine) - -(-len(mine) * percent // 100) + 1]])
     extra = mix(np.concatenate(heads) ^ np.uint64(0x5BF0)) if heads else np.zeros(0, np.uint64)
-    return np.concatenate([sig, extra]), np.concatenate([of[lane], np.repeat(unsure, [len(h) for h in heads])]), sure
+    return np.concatenate([*sigs, extra]), np.concatenate([*owners, np.repeat(unsure, [len(h) for h in heads])]), sure
 
 
 def parities(sets: list[np.ndarray], words: int = SKETCH) -> np.ndarray:
@@ -127,7 +163,7 @@ def _batches(it, width: int):
         trim()
 
 
-def _frequent(docs: DataFrame, width: int, share: int = 4, least: int = 3, most: int = 1 << 20) -> np.ndarray:
+def _frequent(docs: DataFrame, width: int, share: int = 8, least: int = 3, most: int = 1 << 20) -> Frequent:
     """Shingles that a hash sample of 1/share of the texts often has, the most frequent ones if there are over most.
 
     What this list holds changes how many candidates there are, never which links are found.
@@ -140,16 +176,18 @@ def _frequent(docs: DataFrame, width: int, share: int = 4, least: int = 3, most:
 
     sample = docs.where(F.pmod(F.xxhash64("t"), F.lit(share)) == 0).select("t")
     rows = sample.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    got = rows.orderBy(F.desc("c"), "h").limit(most).select("h").toArrow().column("h")
-    return np.sort(got.to_numpy().view(np.uint64).copy()) if len(got) else np.zeros(0, np.uint64)
+    got = rows.orderBy(F.desc("c"), "h").limit(most).toArrow()
+    h, c = (got.column(i).to_numpy() for i in (0, 1))
+    return Frequent(h.view(np.uint64).copy() if len(h) else np.zeros(0, np.uint64), np.array(c, np.int64))
 
 
-def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: Frequent, buckets: int) -> DataFrame:
     """docs (t, k1, k2) -> rows (sig, node): all signatures that two different sets or more share, and those sets; and rows (node, k1, k2, n): each text's set and its size (no node if it is empty).
 
-    A task sorts the signatures of each batch of texts and sends one set for each, packed by bucket. A signature that
-    several sets of the batch share goes out with all of them on its own, dealt by batch, so that a hot signature reaches
-    its bucket once for each batch however many texts have it.
+    A task sorts the signatures of each batch of texts and sends one set for each, packed by bucket: BITS bits of it (its
+    bucket stands for others; a chance match is one more candidate) and the set's place in the packet's list. A signature
+    that several sets of the batch share goes out with all of them on its own, dealt by batch, so that a hot signature
+    reaches its bucket once for each batch however many texts have it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -165,16 +203,23 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: np.nda
                 got.append((g, nodes[part][o]))
             sig = np.concatenate([g for g, _ in got] or [np.zeros(0, np.uint64)])
             node = np.concatenate([n for _, n in got] or [np.zeros(0, np.int64)])
-            order = np.argsort(sig, kind="stable")
-            sig, node = sig[order], node[order]
+            place = np.searchsorted(np.sort(nodes[fresh]), node).astype(np.uint16) if len(node) else np.zeros(0, np.uint16)
+            known = np.sort(nodes[fresh])
+            b = ((sig >> np.uint64(BITS)) % np.uint64(buckets)).astype(np.int64)
+            sig = b.astype(np.uint64) << np.uint64(BITS) | sig & np.uint64((1 << BITS) - 1)  # in the order of buckets
+            order = np.argsort(sig)
+            sig, place = sig[order], place[order]
             first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
             several = ~first | np.append(~first[1:], False)[: len(sig)]
-            b = ((sig[first] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(b, kind="stable")
-            edges = np.searchsorted(b[by], np.arange(buckets + 1))
-            s, n = sig[first][by], node[first][by]
-            rows = [(k, 0, s[v : min(v + PACKET, y)].tobytes(), n[v : min(v + PACKET, y)].tobytes(), None, None) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])) for v in range(x, y, PACKET)]
-            s, n = sig[several], node[several]
+            s, n = sig[first], place[first]
+            edges = np.searchsorted(s >> np.uint64(BITS), np.arange(buckets + 1).astype(np.uint64))
+            rows = []
+            for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
+                for v in range(x, y, PACKET):
+                    part = s[v : min(v + PACKET, y)]
+                    here, spot = np.unique(n[v : min(v + PACKET, y)], return_inverse=True)
+                    rows.append((k, 0, part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes(), spot.astype(np.uint16).tobytes(), known[here].tobytes()))
+            s, n = sig[several], known[place[several]]
             rows += [(int(s[v] % np.uint64(buckets)), 1, s[v : v + PACKET].tobytes(), n[v : v + PACKET].tobytes(), None, None) for v in range(0, len(s), PACKET)]
             size = np.array([len(x) for x in sets], np.int64)
             k1, k2 = (rb.column(i).to_numpy() for i in (1, 2))
@@ -193,7 +238,9 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: np.nda
         at, held = -1, []
 
         def flush():
-            sig, node = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in enumerate((np.uint64, np.int64)))
+            low, high = (np.concatenate([np.frombuffer(h[i], kind) for h in held]).astype(np.uint64) for i, kind in enumerate((np.uint32, np.uint8)))
+            sig = np.uint64(at << BITS) | high << np.uint64(32) | low
+            node = np.concatenate([np.frombuffer(h[3], np.int64)[np.frombuffer(h[2], np.uint16)] for h in held])
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
@@ -224,17 +271,17 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: np.nda
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, node long, k1 long, k2 long, n long")
 
 
-def links_of(df: DataFrame, *, text: str = "text", percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
-    """(members, links, components): members has df's rows with __node and n_shingles; links (a, b) join the nodes found similar.
+def links_of(df: DataFrame, *extra: Column, text: str = "text", percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """(members, links, components): members has df's rows with __k1, __k2 (the text's key), __node, n_shingles and the extra columns; links (a, b) join the nodes found similar.
 
     Every two different sets whose Jaccard similarity is percent or more are linked directly or, in a large group of one
     signature, through sets that are: no component loses a link.
     """
     with arrow_rows(df.sparkSession, BATCH):
-        return _links_of(df, text, percent, width)
+        return _links_of(df, extra, text, percent, width)
 
 
-def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+def _links_of(df: DataFrame, extra: tuple, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     t = pick(df, text, "string")
     k1, k2 = text_key(t)
@@ -260,17 +307,22 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sure", "elements", "sketch"])
 
     shared = spark.sparkContext.broadcast(frequent)
-    sizes = groups.groupBy("sig").agg(F.count("*").alias("c"), F.min("node").alias("first"))
-    tagged = groups.join(sizes, "sig").where("c > 1")
+    tagged = groups.join(groups.groupBy("sig").agg(F.count("*").alias("c")), "sig").where("c > 1")
     few = tagged.where(F.col("c") <= GROUP).select("sig", "node")
     pairs = few.join(few.select("sig", F.col("node").alias("b")), "sig").where("node < b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
     pairs = scratch.save(pairs, "pairs")
-    star = scratch.save(tagged.where((F.col("c") > GROUP) & (F.col("node") != F.col("first"))).select("sig", F.col("first").alias("a"), F.col("node").alias("b")), "star")
-    hot = scratch.save(star.select("a").union(star.select("b")).distinct().select(F.col("a").alias("node")), "hot")
+    large = scratch.save(tagged.where(F.col("c") > GROUP).select("sig", "node"), "large")
+    # the centre of a large group is the member of most large groups: of edited copies that is what they were made from
+    reach = large.groupBy("node").agg(F.count("*").alias("k"))
+    centres = large.join(reach, "node").groupBy("sig").agg(F.max_by("node", F.struct("k", "node")).alias("first"))
+    large = scratch.save(large.join(centres, "sig"), "large-centred")
+    star = large.where(F.col("node") != F.col("first")).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    hot = scratch.save(large.select("node").distinct(), "hot")
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot).distinct()
+    wanted = texts.join(wanted, F.col("__node") == F.col("node"), "left_semi").select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
     wanted = scratch.save(wanted, "wanted")
-    sets = docs.select("t").mapInArrow(describe, "node long, n long, sure map<int,int>, elements binary, sketch array<long>").join(small(wanted, scratch, "wanted"), "node", "left_semi")
+    sets = docs.join(small(wanted, scratch, "wanted"), ["k1", "k2"], "left_semi").select("t").mapInArrow(describe, "node long, n long, sure map<int,int>, elements binary, sketch array<long>")
     sets = scratch.save(sets, "sets")
     facts = scratch.save(sets.groupBy("node").agg(F.first("n").alias("n"), F.first("sure").alias("sure")), "facts")
     facts = small(facts, scratch, "facts")
@@ -283,12 +335,16 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
         low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         return pairs.join(side("a"), "a").join(side("b"), "b").where(low * 100 >= high * percent)
 
+    def agree(f: Column, d: Column) -> Column:
+        """How many signatures two sets share at least that differ in d elements, if one's f partitions are sure: a difference leaves one of a partition's PARTS choices, a second one in it none."""
+        return F.when(d <= f, PARTS * f - (PARTS - 1) * d).otherwise(F.greatest(F.lit(0), 2 * f - d)).cast("bigint")
+
     differ = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
     both = F.map_keys(F.map_filter("sure_a", lambda k, v: F.map_contains_key(F.col("sure_b"), k)))
-    least = F.array_min(F.transform(both, lambda k: F.greatest(F.col("sure_a")[k], F.col("sure_b")[k])))
-    counted = fits(pairs).where(F.col("shared") >= F.coalesce(least, F.lit(0)) - differ)
+    least = F.aggregate(both, F.lit(0).cast("bigint"), lambda sum_, k: sum_ + agree(F.greatest(F.col("sure_a")[k], F.col("sure_b")[k]), differ))
+    counted = fits(pairs).where(F.col("shared") >= least)
     passed = fits(pairs).join(small(is_hot, scratch, "hot").withColumnRenamed("node", "a"), "a", "left_semi").join(small(is_hot, scratch, "hot").withColumnRenamed("node", "b"), "b", "left_semi")
-    first = scratch.save(counted.select("a", "b").union(passed.select("a", "b")).union(fits(star.select("a", "b").distinct()).select("a", "b")).distinct(), "first")
+    first = scratch.save(counted.select("a", "b").union(passed.select("a", "b")).union(fits(star).select("a", "b")).distinct(), "first")
     one = sets.select("node", "elements").dropDuplicates(["node"])
 
     def verify(it):
@@ -309,42 +365,51 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
     measured = checked(first, "links")
     links = measured.where("ok").select("a", "b")
     found = scratch.save(components(links, scratch, "cc-first"), "components")
-    if star.limit(1).count():
+    if hot.limit(1).count():
         # Large groups: a star has joined most of what belongs together. A pair in different components still needs a look
         # only if all that it is sure to share may lie in large groups, if its sizes fit, and if the distances to the
         # star's centre (by the triangle inequality of Jaccard distance) and the parity sketches let it be near enough.
-        hot_rows = tagged.where(F.col("c") > GROUP).select("sig", "node", "first")
         widest = F.floor((F.col("n") + F.col("n") * 100 / percent) * (100 - percent) / (100 + percent))
-        need = F.greatest(F.lit(1), F.array_min(F.map_values("sure")) - widest)
-        may = hot_rows.groupBy("node").agg(F.count("*").alias("k")).join(facts, "node").where(F.col("k") >= need).select("node", "n")
+        need = F.greatest(F.lit(1), F.array_min(F.transform(F.map_values("sure"), lambda f: agree(f, widest))))
+        may = large.groupBy("node").agg(F.count("*").alias("k")).join(facts, "node").where(F.col("k") >= need).select("node", "n")
         may = scratch.save(may.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "may")
-        spread = scratch.save(hot_rows.join(may, "node"), "hot-rows")  # read three times below
-        open_ = spread.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("sig")
-        centre = facts.select(F.col("node").alias("first"), F.col("n").alias("n_first"))
-        spread = spread.join(open_, "sig").join(centre, "first").join(measured.select(F.col("a").alias("first"), F.col("b").alias("node"), "far"), ["first", "node"], "left")
-        at_least = 1 - F.least("n", "n_first") / F.greatest("n", "n_first")
-        spread = spread.withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
-        spread = spread.select("sig", "node", "root", "n", F.coalesce("far", at_least).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"))
-        # for each large signature and size step only neighbouring steps meet
-        sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch")).select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
-        spread = spread.join(spread.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(sketches, "node"), "node")
-        step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-        spread = scratch.save(spread.withColumn("step", step), "spread")
-        scratch.drop("hot-rows")
-        other = spread.select("sig", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("sigs").alias("sigs_b"), *[F.col(f"s{i}").alias(f"z{i}") for i in range(SKETCH)], F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-        most = F.lit((100 - percent) / 100 + 1e-9)
-        apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"z{i}"))) for i in range(SKETCH))
-        rest = spread.join(other, ["sig", "step"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)) & (F.col("low") - F.col("high_b") <= most) & (F.col("low_b") - F.col("high") <= most) & (F.array_min(F.array_intersect("sigs", "sigs_b")) == F.col("sig")))  # each pair once
-        rest = scratch.save(rest.select(F.col("node").alias("a"), "b").distinct().join(first, ["a", "b"], "left_anti"), "rest")
-        more = checked(rest, "more").where("ok").select("a", "b")
-        if more.limit(1).count():
-            links = links.union(more)
-            found = scratch.save(components(links, scratch, "cc-more"), "components-more")
-
-    members = df.select(*others(df, *MADE), k1.alias("__k1"), k2.alias("__k2")).join(small(texts, scratch, "texts"), ["__k1", "__k2"], "left").drop("__k1", "__k2")
+        spread = scratch.save(large.join(may, "node"), "hot-rows")  # read three times below
+        kinds = spread.groupBy("sig", "root").agg(F.count("*").alias("c"))
+        open_ = kinds.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+        open_ = scratch.save(open_, "open")
+        if open_.limit(1).count():
+            centre = facts.select(F.col("node").alias("first"), F.col("n").alias("n_first"))
+            spread = spread.join(small(open_, scratch, "open"), "sig").join(centre, "first").join(measured.select(F.col("a").alias("first"), F.col("b").alias("node"), "far"), ["first", "node"], "left")
+            at_least = 1 - F.least("n", "n_first") / F.greatest("n", "n_first")
+            spread = spread.withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
+            step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
+            spread = spread.select("sig", "node", "root", "main", "blocks", "n", F.coalesce("far", at_least).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"), step.alias("step"))
+            sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch")).select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
+            spread = scratch.save(spread.join(spread.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(sketches, "node"), "node"), "spread")
+            scratch.drop("hot-rows")
+            # The members of a group's largest component need no look at one another: only the strays meet all others, which
+            # are dealt into blocks so that no task has a whole group. Of sizes only neighbouring steps meet.
+            strays = spread.where(F.col("root") != F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("main", "blocks")
+            other = spread.select("sig", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("main_b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("sigs").alias("sigs_b"), *[F.col(f"s{i}").alias(f"z{i}") for i in range(SKETCH)], F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+            most = F.lit((100 - percent) / 100 + 1e-9)
+            apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"z{i}"))) for i in range(SKETCH))
+            rest = strays.join(other, ["sig", "block", "step"]).where((F.col("root") != F.col("root_b")) & (F.col("main_b") | (F.col("node") < F.col("b"))) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent) & (F.col("low") - F.col("high_b") <= most) & (F.col("low_b") - F.col("high") <= most) & (apart * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)) & (F.array_min(F.array_intersect("sigs", "sigs_b")) == F.col("sig")))  # each pair once
+            rest = scratch.save(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+            more = checked(rest, "more").where("ok").select("a", "b")
+            if more.limit(1).count():
+                links = links.union(more)
+                found = scratch.save(components(links, scratch, "cc-more"), "components-more")
+
+    members = df.select(*others(df, *MADE), k1.alias("__k1"), k2.alias("__k2"), *extra).join(small(texts, scratch, "texts"), ["__k1", "__k2"], "left")
     return members, links, found, scratch
 
 
+def _classes(members: DataFrame, found: DataFrame, doc_id: Column) -> DataFrame:
+    """(__node, root, id): each node's root, and its rows' least id."""
+    ids = members.where(F.col("__node").isNotNull()).groupBy("__node").agg(F.min(doc_id).alias("id"))
+    return ids.join(found.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node"))
+
+
 def jaccard_components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = 75, width: int = 5) -> DataFrame:
     """df with n_shingles (its set's size) and component_id (the smallest doc_id that links reach, itself included).
 
@@ -354,21 +419,33 @@ def jaccard_components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_
     no other; repeated rows are all kept; an empty table gives an empty one; input columns called like a result are replaced.
     Sets are told apart by 64-bit hashes; links between different sets are decided on the sets themselves.
     """
-    members, _, found, scratch = links_of(df, text=text, percent=percent, width=width)
-    ids = scratch.save(members.select(pick(df, doc_id).alias("id"), "__node").where(F.col("__node").isNotNull()).groupBy("__node").agg(F.min("id").alias("id")), "ids")
-    roots = ids.join(found.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node"))
+    members, _, found, scratch = links_of(df, pick(df, doc_id).alias("__id"), text=text, percent=percent, width=width)
+    roots = scratch.save(_classes(members, found, F.col("__id")), "roots")
     least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
     classes = scratch.save(roots.join(least, "root").select("__node", "component_id"), "classes")
     out = members.join(small(classes, scratch, "classes"), "__node", "left")
-    return out.select(*others(df, *MADE), "n_shingles", F.coalesce("component_id", pick(df, doc_id)).alias("component_id"))
+    return out.select(*others(df, *MADE), "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id, of rows that share it the one whose text hashes lowest; texts without words stay."""
-    got = jaccard_components(df, text=text, doc_id=doc_id, **options)
-    rank = F.row_number().over(Window.partitionBy("component_id", doc_id).orderBy(F.xxhash64(text)))
-    first = got.where((F.col("n_shingles") == 0) | F.col(doc_id).eqNullSafe(F.col("component_id")))
-    return first.withColumn("__r", F.when(F.col("n_shingles") == 0, 1).otherwise(rank)).where("__r = 1").select(*df.columns)
+    """df with one row of each component: the one with the smallest doc_id (nulls last), of rows that share it the one whose text hashes lowest.
+
+    Rows that are equal in both keep the one whose other columns hash lowest. Texts without words are in no component, so all
+    their rows stay; so do all columns, whatever their names. Which row stays is settled on ids and text keys; only tied rows
+    are compared whole, by a partial aggregate.
+    """
+    renamed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), pick(df, text, "string").alias("__text"), pick(df, doc_id).alias("__id"))
+    members, _, found, scratch = links_of(renamed, text="__text", **options)
+    roots = scratch.save(_classes(members, found, F.col("__id")), "roots")
+    key = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
+    slim = members.select("__node", key.alias("key")).join(small(roots.select("__node", "root"), scratch, "roots"), "__node")
+    counted = slim.groupBy("root", "key").agg(F.count("*").alias("c")).groupBy("root").agg(F.min(F.struct("key", "c")).alias("m"))
+    chosen = scratch.save(roots.join(counted, "root").select("__node", "root", F.col("m.key").alias("__first"), (F.col("m.c") > 1).alias("__tied")), "chosen")
+    got = members.join(small(chosen, scratch, "chosen"), "__node", "left").where(F.col("__node").isNull() | key.eqNullSafe(F.col("__first")))
+    single = got.where(F.col("__node").isNull() | ~F.col("__tied")).select("__row")
+    tied = got.where("__tied").groupBy("root").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row")).select("__row")
+    out = single.unionByName(tied)
+    return out.select(*[F.col(f"__row.`{c}`") for c in df.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

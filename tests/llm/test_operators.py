@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.llm import decontaminate, fingerprint, html_text, jaccard_join, language_id, line_dedup, mixing, quality, suffix_dedup, warc
 
@@ -63,6 +64,69 @@ def test_jaccard_large_group(spark):
     assert got == {i: (1 if i % 3 else i) for i in range(150)}
 
 
+def brute_components(sets, percent=75):
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_jaccard_families(spark):
+    """Families of more texts than a group's pairs are worked out for: links between strays alone, around a centre, and chains."""
+    draw = random.Random(11)
+    rows = []
+    for f in range(3):
+        core = [f"f{f}c{k}" for k in range(90)]
+        rows += [" ".join([w for w in core if draw.random() < (0.82, 0.84, 0.97)[f]] + [f"o{f}x{i}y{k}" for k in range((0, 2, 9)[f])]) for i in range(110)]
+    rows += [" ".join(f"z{k}" for k in range(i, i + 60)) for i in range(0, 300, 5)]
+    sets = {i: set(t.split()) for i, t in enumerate(rows)}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, width=1).collect()}
+    want = brute_components(sets)
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_signatures_guarantee():
+    """Similar sets share a signature, as many as the bound says where no element is frequent; choices of partitions are what they sign with."""
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    for n in (1, 2, 3, 7, 20, 90, 400):
+        for _ in range(20):
+            a = np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64))
+            swap = int(draw.integers(0, max(1, len(a) // 7 + 1)))
+            b = np.unique(np.concatenate([a[swap:], draw.integers(0, 1 << 62, swap).astype(np.uint64)]))
+            if 100 * len(np.intersect1d(a, b)) < 75 * len(np.union1d(a, b)):
+                continue
+            for often in (a[:0], a[::2], a):
+                sig, of, sure = jaccard_join.signatures([a, b], 75, jaccard_join.Frequent(often, np.full(len(often), 9)))
+                shared = len(np.intersect1d(sig[of == 0], sig[of == 1]))
+                d, (x, y) = len(np.setxor1d(a, b)), map(dict, sure)
+                least = sum(3 * f - 2 * d if d <= f else max(0, 2 * f - d) for f in (max(x[k], y[k]) for k in x.keys() & y.keys()))
+                assert shared >= max(1, least)
+
+
+def test_keep_one(spark, docs):
+    odd = spark.createDataFrame([(None, BASE, 1), (None, "two words", 2), (None, "three other words", 3), (None, "four", 4), (7, BASE + " end", 5), (7, BASE + " end", 5), (None, "four", 6), (None, None, 7), (None, "", 8)], "doc_id long, text string, `a.b` int").withColumn("n_shingles", F.col("`a.b`") * 10).withColumn("root", F.lit("r"))
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["n_shingles"], r["root"]) for r in jaccard_join.keep_one(odd).collect())
+    fours = [r for r in got if r[1] == "four"]
+    assert len(fours) == 1 and fours[0][2] in (40, 60)
+    assert sorted(r for r in got if r[1] != "four") == [(0, "", 70, "r"), (0, "", 80, "r"), (0, "three other words", 30, "r"), (0, "two words", 20, "r"), (7, BASE + " end", 50, "r")]
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len({(r.component_id if r.n_shingles else (r.doc_id,)) for r in jaccard_join.jaccard_components(docs).collect()})
+    assert jaccard_join.keep_one(docs.limit(0)).count() == 0
+
+
 def test_substrings(docs):
     seen, want = {}, {}
     order = sorted((i for i in range(len(TEXTS))), key=lambda i: (i == 3, i))
