@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
         have = spark.sparkContext.getCheckpointDir()
     return have.rstrip("/")
@@ -136,12 +138,12 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], flat[offsets[0] : offsets[-1]]
 
 
-def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
-    """Cuts rows into runs (first, last) of about limit bytes; a longer row stands alone."""
+def steps(offsets: np.ndarray, limit: int = STEP_BYTES, rows: int = 1 << 62):
+    """Cuts rows into runs (first, last) of about limit bytes and rows at most; a longer row stands alone."""
     n, first = len(offsets) - 1, 0
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(n, max(last, first + 1))
+        last = min(n, first + rows, max(last, first + 1))
         yield first, last
         first = last
 

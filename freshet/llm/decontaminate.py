@@ -10,11 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import mix, others, pick, steps, utf8
-
-HIT = "item_id long, piece int, start long, stop long, edits int"
+from .common import Scratch, mix, others, pick, small, steps, text_key, utf8
 
 #: ASCII letters and digits stay (letters in lower case), as do bytes of other characters (folded before); all else parts words.
 _PLAIN = np.full(256, 32, np.uint8)
@@ -295,40 +294,61 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
     are borne wherever the part begins), and from 1.1 * piece bytes on they hold a whole one. Shorter parts may be missed, as
     may parts of items no longer than a piece that lack more than rate of it.
 
-    Items that are null or have fewer than shortest such bytes are too short to tell a leak and are left out. Null and
-    empty texts have no leaks; repeated rows get equal results; an empty table or benchmark gives no leaks; an input column
-    called leaks is replaced. Items are broadcast in blocks of about block_bytes, one pass over df for each block, so a
-    benchmark of any size takes bounded memory.
+    Items that are null or have fewer than shortest such bytes are too short to tell a leak and are left out. Item ids may be of
+    any type, null or repeated (then leaks name them so). Null and empty texts have no leaks; repeated rows get equal results; an
+    empty table or benchmark gives no leaks; an input column called leaks is replaced, all others stay whatever their names.
+
+    Items are broadcast in blocks of about block_bytes. One block is searched on the way of the rows. Of several, each is a
+    job of its own over the texts, that saves what it found by the texts' keys, and the rows meet it at the end: a task holds
+    one block's index at a time, however large the benchmark is.
     """
-    spark = df.sparkSession
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     it = pick(benchmark, item_text, "string")
-    bench = benchmark.where(it.isNotNull()).select(pick(benchmark, item_id, "bigint").alias("i"), it.alias("t"))
+    bench = benchmark.where(it.isNotNull()).select(pick(benchmark, item_id).alias("i"), it.alias("t"))
     size = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    id_type = bench.schema["i"].dataType
+    hit = StructType([StructField("item_id", id_type), *StructType.fromDDL("piece int, start long, stop long, edits int").fields])
+    kind = to_arrow_type(ArrayType(hit))
     keep = others(df, "leaks")
-    out = df.select(pick(df, text, "string").alias("__t"), F.struct(*keep).alias("__row") if keep else F.struct(F.lit(0)).alias("__row"), F.array().cast(f"array<struct<{HIT.replace(' ', ':').replace(',:', ',')}>>").alias("leaks"))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())]))
-    for b in range(blocks):
-        rows = sorted(tuple(r) for r in bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect())
-        shared = spark.sparkContext.broadcast(GramIndex.build(rows, q, rate, piece, shortest, least))
+    t = pick(df, text, "string")
+    k1, k2 = text_key(t)
+    rows = df.select(t.alias("__t"), (F.struct(*keep) if keep else F.struct(F.lit(0))).alias("__row"), k1.alias("__k1"), k2.alias("__k2"))
 
-        def run(it, shared=shared):
+    def searched(texts: DataFrame, carried: list[str], block: int, hits_alone: bool) -> DataFrame:
+        """The texts' leaks of one block's items, with the carried columns."""
+        items = sorted((tuple(r) for r in bench.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()), key=lambda r: (str(r[0]), r[1]))
+        ids = [i for i, _ in items]
+        shared = spark.sparkContext.broadcast(GramIndex.build([(k, x) for k, (_, x) in enumerate(items)], q, rate, piece, shortest, least))
+
+        def run(batches):
             index = shared.value
-            for rb in it:
+            for rb in batches:
                 offsets, data = utf8(rb.column(0))
-                found = [list(x or []) for x in rb.column(2).to_pylist()]
+                found: list[list] = [[] for _ in range(len(rb))]
                 for a, z in steps(offsets):
                     for r, item, k, s, t, e in index.search(data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]):
-                        found[a + r].append({"item_id": item, "piece": k, "start": s, "stop": t, "edits": e})
-                yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(found, kind)], names=["__t", "__row", "leaks"])
-
-        out = out.mapInArrow(run, StructType(out.schema.fields))
+                        found[a + r].append({"item_id": ids[item], "piece": k, "start": s, "stop": t, "edits": e})
+                out = pa.RecordBatch.from_arrays([*rb.columns[1:], pa.array(found, kind)], names=[*carried, "leaks"])
+                yield out.filter(pa.array([bool(x) for x in found], pa.bool_())) if hits_alone else out
+
+        return texts.select("__t", *carried).mapInArrow(run, StructType([*[texts.schema[c] for c in carried], StructField("leaks", ArrayType(hit))]))
+
+    if blocks == 1:
+        out = searched(rows, ["__row"], 0, False)
+    else:
+        parts = [scratch.save(searched(rows, ["__k1", "__k2"], b, True), f"leaks-{b}") for b in range(blocks)]
+        found = functools.reduce(DataFrame.unionByName, parts).select("__k1", "__k2", F.explode("leaks").alias("leak")).groupBy("__k1", "__k2").agg(F.collect_set("leak").alias("leaks"))
+        found = scratch.save(found, "leaks")
+        out = rows.join(small(found, scratch, "leaks"), ["__k1", "__k2"], "left").select("__row", F.coalesce("leaks", F.array().cast(ArrayType(hit))).alias("leaks"))
     return out.select(*([f"__row.`{f}`" for f in out.schema["__row"].dataType.names] if keep else []), "leaks")
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of df in which find_leaks finds nothing."""
-    return find_leaks(df, benchmark, **options).where(F.size("leaks") == 0).drop("leaks")
+    """The rows of df in which find_leaks finds nothing, with all their columns; null and empty texts stay, as do repeated rows."""
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), pick(df, options.pop("text", "text"), "string").alias("text"))
+    clean = find_leaks(row, benchmark, **options).where(F.size("leaks") == 0)
+    return clean.select(*[F.col(f"row.`{c}`") for c in df.columns])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

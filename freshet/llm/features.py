@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, mix
 
+#: Rows that are turned into vectors at a time: short texts need memory by rows, not by bytes.
+VECTORS = 512
+
 
 def shapes(data: np.ndarray) -> np.ndarray:
     """Bytes with letters down to 'a' or 'A', digits to '0'; bytes of other than ASCII characters count as 'a'."""
@@ -53,7 +56,7 @@ def bounded_sample(df: DataFrame, label: Column, key: Column, per_label: int) ->
     """
     counts = [r for r in df.groupBy(label.alias("l")).count().collect() if r["l"] is not None]
     if not counts:
-        return df.where(F.lit(False))
+        return df.where(F.lit(False)).withColumn("__u", F.lit(0.0))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(7), key.cast("string")), 12) / float(1 << 52)
     keep = F.lit(False)
     for r in counts:

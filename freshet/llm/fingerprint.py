@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from .common import SPACE, let, pick
 
@@ -71,40 +72,72 @@ def merge_groups(df: DataFrame, by: list[str], sketch_column: str, k: int = K) -
     return hashes.withColumn("__r", rank).where(F.col("__r") <= k).groupBy(*by).agg(F.array_sort(F.collect_list("__h")).alias(sketch_column))
 
 
-def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", per_bucket: int = 4000, most_buckets: int = 2000) -> DataFrame:
+def _place(id_: Column, kind: DataType) -> Column:
+    """A number that grows with the id (for strings with their first six bytes), by which ids are dealt into ranges."""
+    if isinstance(kind, NumericType):
+        return id_.cast("double")
+    if isinstance(kind, (DateType, TimestampType, TimestampNTZType)):
+        return F.unix_micros(id_.cast("timestamp")).cast("double")
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(id_.cast("string"), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", per_bucket: int = 4000, coarse: int = 256) -> DataFrame:
     """(doc_id, text, next_id, next_text): the next document by descending doc_id; after the last, the first again.
 
-    Null ids come last, equal ids in the order of their texts' hashes. Rows are dealt into id ranges of about per_bucket
-    rows whose bounds (most_buckets at most) come from approximate quantiles, so the texts are shuffled once. The largest
-    row of each range is also sent to the range above it, where it follows the smallest.
+    Null ids come last, equal ids in the order of their texts' hashes (rows equal in both in any order: their results are equal
+    but for who follows whom); of a single row, it is its own next. Rows are dealt into ranges of about per_bucket rows: up to
+    coarse ranges of ids have bounds from approximate quantiles, and each is cut into as many even parts as the table's size
+    asks for; rows without an id are dealt by the hash that orders them. So the texts are shuffled once and no range grows
+    with the table. The largest row of each range is also sent to the range above it, where it follows the smallest.
     """
     t = F.coalesce(pick(df, text, "string"), F.lit(""))
-    d = df.select(pick(df, doc_id).alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("__h"))
-    n = d.count()
-    cuts = d.stat.approxQuantile("doc_id", [i / b for i in range(1, b)], 0.2 / b) if (b := max(1, min(most_buckets, n // per_bucket))) > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    bucket = F.lit(0) if not cuts else F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id"))) + 1)
-    d = d.withColumn("__b", bucket)
+    own = pick(df, doc_id)
+    d = df.select(own.alias("doc_id"), t.alias("text"), F.xxhash64(t).alias("__h"))
+    d = d.withColumn("__p", _place(F.col("doc_id"), d.schema["doc_id"].dataType))
+    n, known, low, high = d.agg(F.count("*"), F.count("__p"), F.min("__p"), F.max("__p")).first()
+    many = max(1, min(coarse, known // per_bucket))
+    cuts = sorted(set(d.stat.approxQuantile("__p", [i / many for i in range(1, many)], 0.2 / many))) if many > 1 else []
+    edges = [low, *cuts, high] if known else []
+    parts, unknown = max(1, -(-known // per_bucket // many)), max(1, (n - known) // per_bucket)
+    spot = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("__p"))) if cuts else F.lit(0)
+    bounds = F.array(*map(F.lit, edges)) if edges else F.array(F.lit(0.0), F.lit(0.0))
+    # spot s holds (edges[s], edges[s + 1]]
+    inner = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("__p") - F.get(bounds, F.col("__s"))) / F.greatest(F.get(bounds, F.col("__s") + 1) - F.get(bounds, F.col("__s")), F.lit(1e-9)) * parts)))
+    lost = F.floor((F.shiftright("__h", 32).cast("double") / float(1 << 32) + 0.5) * unknown)
+    d = d.withColumn("__s", spot).withColumn("__b", F.when(F.col("__p").isNull(), lost - unknown).otherwise(F.col("__s") * parts + inner).cast("bigint")).drop("__s", "__p")
     place = F.struct(F.col("doc_id").isNotNull().alias("a"), F.col("doc_id").alias("b"), F.col("__h").alias("c"))
     tops = d.groupBy("__b").agg(F.max(place).alias("__top"))
-    goes = F.coalesce(F.lead("__b").over(Window.orderBy("__b")), F.first("__b").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    everything = Window.orderBy("__b")
+    goes = F.coalesce(F.lead("__b").over(everything), F.first("__b").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     tops = tops.select(F.col("__b"), "__top", goes.alias("__to"))  # a row for each range
-    d = d.join(F.broadcast(tops), "__b")
-    sent = F.when(place == F.col("__top"), F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("extra")), F.struct(F.col("__to").alias("b"), F.lit(1).alias("extra")))).otherwise(F.array(F.struct(F.col("__b").alias("b"), F.lit(0).alias("extra"))))
+    d = d.join(tops, "__b")  # ids and numbers alone on one side: Spark broadcasts it while it is small
+    here, there = F.struct(F.col("__b").alias("b"), F.lit(0).alias("extra")), F.struct(F.col("__to").alias("b"), F.lit(1).alias("extra"))
+    sent = F.when(place == F.col("__top"), F.array(here, there)).otherwise(F.array(here))
     d = d.select("doc_id", "text", "__h", F.explode(sent).alias("s")).select("doc_id", "text", "__h", F.col("s.b").alias("__b"), F.col("s.extra").alias("__extra"))
-    w = Window.partitionBy("__b").orderBy("__extra", F.col("doc_id").desc_nulls_last(), F.col("__h").desc())
-    return d.withColumn("next_id", F.lead("doc_id").over(w)).withColumn("next_text", F.lead("text").over(w))
+    return d.withColumn("next_id", F.lead("doc_id").over(following())).withColumn("next_text", F.lead("text").over(following()))
 
 
-def op10(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    d = with_next(docs).withColumn("n_chars", F.char_length("text").cast("bigint"))
+def following() -> WindowSpec:
+    """A range's rows by descending id, then the one that the range below sent."""
+    return Window.partitionBy("__b").orderBy("__extra", F.col("doc_id").desc_nulls_last(), F.col("__h").desc())
+
+
+def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", per_bucket: int = 4000) -> DataFrame:
+    """Each text's fingerprint beside that of its edited text, and how like it is to that and to the next document's.
+
+    The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document
+    (with_next tells which). Null texts are empty, and two empty texts are alike (1); an empty table gives an empty one.
+    """
+    d = with_next(df, doc_id, text, per_bucket).withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     d = d.withColumn("edited", edited).drop("next_text").withColumn("s", sketch(F.col("text")))
-    w = Window.partitionBy("__b").orderBy("__extra", F.col("doc_id").desc_nulls_last(), F.col("__h").desc())
-    d = d.withColumn("next_s", F.lead("s").over(w)).where("__extra = 0").withColumn("e", sketch(F.col("edited")))
+    d = d.withColumn("next_s", F.lead("s").over(following())).where("__extra = 0").withColumn("e", sketch(F.col("edited")))
     return d.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), pack(F.col("s")).alias("fingerprint"), pack(F.col("e")).alias("edited_fingerprint"),
         resemblance(F.col("s"), F.col("e")).alias("near_edited"), resemblance(F.col("s"), F.col("next_s")).alias("near_next"),
     )
+
+
+def op10(spark, sf_dir: str) -> DataFrame:
+    return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,16 +6,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import others, pick, steps, utf8
-from .features import bounded_sample, language_vectors
+from .features import VECTORS, bounded_sample, language_vectors
 
 MADE = ("lang_pred", "score")
-_LETTER = regex.compile(r"\p{L}")
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -88,7 +86,7 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "do
     def vectors(it):
         for rb in it:
             offsets, data = utf8(rb.column(0))
-            out = [language_vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], dims).astype(np.float16) for a, b in steps(offsets)]
+            out = [language_vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], dims).astype(np.float16) for a, b in steps(offsets, rows=VECTORS)]
             yield pa.RecordBatch.from_arrays([rb.column(1), rb.column(2), pa.array([v.tobytes() for m in out for v in m], pa.binary())], names=["l", "u", "v"])
 
     got = sorted(rows.mapInArrow(vectors, "l string, u double, v binary").collect(), key=lambda r: (r["l"], r["u"], r["v"]))
@@ -124,18 +122,18 @@ def identify(df: DataFrame, model: LanguageModel, *, text: str = "text") -> Data
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     keep = others(df, *MADE)
-    dressed = df.select(pick(df, text, "string").alias("__t"), F.struct(*keep).alias("__row") if keep else F.struct(F.lit(0)).alias("__row"))
+    dressed = df.select(pick(df, text, "string").alias("__t"), F.struct(*keep).alias("__row") if keep else F.struct(F.lit(0)).alias("__row"), F.coalesce(pick(df, text, "string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
 
     def run(it):
         m = shared.value
         for rb in it:
             offsets, data = utf8(rb.column(0))
             best, score = np.zeros(len(rb), np.int64), np.zeros(len(rb))
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, rows=VECTORS):
                 if m.langs:
                     s = m.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     best[a:b], score[a:b] = s.argmax(1), np.clip(s.max(1), 0, 1)
-            known = [bool(m.langs and t.is_valid and _LETTER.search(t.as_py())) for t in rb.column(0)]
+            known = rb.column(2).to_numpy(zero_copy_only=False).astype(bool) & bool(m.langs)
             yield pa.RecordBatch.from_arrays([rb.column(1), pa.array([m.langs[i] if k else "und" for i, k in zip(best, known)], pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())], names=["__row", *MADE])
 
     out = dressed.mapInArrow(run, StructType([dressed.schema["__row"], *StructType.fromDDL("lang_pred string, score double").fields]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import others, pick, steps, utf8
-from .features import bounded_sample, quality_vectors
+from .features import VECTORS, bounded_sample, quality_vectors
 from .language_id import held_out
 
 MADE = ("score", "predicted")
@@ -53,14 +53,14 @@ def fit(df: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "q
     The sample's keys (at most about twice per_label) are broadcast to find their texts. Labels other than 0 and 1 and keys with
     both labels are left out. None if no labelled document is found.
     """
-    own = labels.where(pick(labels, label).isin(0, 1) & pick(labels, key).isNotNull()).groupBy(pick(labels, key).alias("k")).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select("k", "y")
+    own = labels.where(pick(labels, label, "double").isin(0, 1) & pick(labels, key).isNotNull()).groupBy(pick(labels, key).alias("k")).agg(F.min(pick(labels, label, "int")).alias("y"), F.max(pick(labels, label, "int")).alias("z")).where("y = z").select("k", "y")
     chosen = bounded_sample(own, F.col("y"), F.col("k"), per_label)
-    found = df.select(pick(df, key).alias("__k"), pick(df, text, "string").alias("t")).join(F.broadcast(chosen), F.col("__k") == F.col("k")).select("t", "y", "__u")
+    found = df.select(pick(df, key).alias("__k"), pick(df, text, "string").alias("t")).join(F.broadcast(chosen), F.col("__k").cast("string") == F.col("k").cast("string")).select("t", "y", "__u")
 
     def vectors(it):
         for rb in it:
             offsets, data = utf8(rb.column(0))
-            out = [quality_vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], dims).astype(np.float16) for a, b in steps(offsets)]
+            out = [quality_vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], dims).astype(np.float16) for a, b in steps(offsets, rows=VECTORS)]
             yield pa.RecordBatch.from_arrays([rb.column(1), rb.column(2), pa.array([v.tobytes() for m in out for v in m], pa.binary())], names=["y", "u", "v"])
 
     got = sorted(found.mapInArrow(vectors, "y int, u double, v binary").collect(), key=lambda r: (r["y"], r["u"], r["v"]))
@@ -101,7 +101,7 @@ def score(df: DataFrame, model: VotingModel | None, *, text: str = "text") -> Da
         for rb in it:
             offsets, data = utf8(rb.column(0))
             s = np.full(len(rb), 0.5)
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, rows=VECTORS):
                 if m is not None:
                     s[a:b] = m.scores(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             yield pa.RecordBatch.from_arrays([rb.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=["__row", *MADE])

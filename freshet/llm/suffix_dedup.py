@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType, StructType
 
 from .common import Scratch, arrow_rows, mix, others, pick, steps, trim, utf8
 
@@ -207,11 +207,24 @@ def dedup_substrings(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id
         return _dedup(df, text, doc_id, length)
 
 
+def _with_ranks(df: DataFrame, doc_id: str, scratch: Scratch) -> DataFrame:
+    """df with __id, a bigint in the order of its ids, LAST for nulls: integers themselves, other ids by their place among all different ones (sorted in ranges, numbered by range and row)."""
+    own = pick(df, doc_id)
+    if isinstance(df.select(own.alias("id")).schema["id"].dataType, IntegralType):
+        return df.withColumn("__id", F.coalesce(own.cast("bigint"), F.lit(LAST)))
+    ids = df.select(own.alias("__own")).where(F.col("__own").isNotNull()).distinct().repartitionByRange("__own").sortWithinPartitions("__own")
+    ids = scratch.save(ids.withColumn("__rank", F.monotonically_increasing_id()), "ids")
+    out = df.withColumn("__same", own).join(ids, F.col("__same") == F.col("__own"), "left")
+    return out.withColumn("__id", F.coalesce("__rank", F.lit(LAST))).drop("__same", "__own", "__rank")
+
+
 def _dedup(df: DataFrame, text: str, doc_id: str, length: int) -> DataFrame:
     scratch = Scratch(df.sparkSession)
+    keep = others(df, *MADE)
+    df = _with_ranks(df, doc_id, scratch)
     t = F.coalesce(pick(df, text, "string"), F.lit(""))
     key = F.xxhash64(t, F.octet_length(t))
-    docs = df.select(t.alias("t"), key.alias("key"), F.coalesce(pick(df, doc_id, "bigint"), F.lit(LAST)).alias("id"))
+    docs = df.select(t.alias("t"), key.alias("key"), F.col("__id").alias("id"))
     sums = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     rounds = _Rounds(length, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sums // (24 << 20) + 1))
     owners = scratch.save(docs.where(F.octet_length("t") >= length).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "owners")
@@ -332,8 +345,7 @@ def _dedup(df: DataFrame, text: str, doc_id: str, length: int) -> DataFrame:
     verdict = owners.where("copies > 1").select("key", "least").join(states.where(F.size("lost") > 0).select("key", "tag", "lost"), "key", "full").join(places.groupBy("key").agg(F.collect_set("pos").alias("pos")), "key", "full")
     verdict = scratch.save(verdict.select("key", "least", F.when(F.size("lost") > 0, F.col("tag")).alias("tag"), "lost", "pos"), "verdict")
 
-    keep = others(df, *MADE)
-    dressed = df.select(t.alias("t"), key.alias("key"), F.coalesce(pick(df, doc_id, "bigint"), F.lit(LAST)).alias("id"), F.struct(*keep).alias("row") if keep else F.struct(F.lit(0)).alias("row"))
+    dressed = df.select(t.alias("t"), key.alias("key"), F.col("__id").alias("id"), F.struct(*keep).alias("row") if keep else F.struct(F.lit(0)).alias("row"))
     dressed = dressed.join(verdict, "key", "left").select("t", "key", "tag", "lost", "pos", "least", "id", "row")
 
     def finish(it):

@@ -234,14 +234,86 @@ def test_html_copies(spark):
     assert all("Two two body" in got[100 + i] for i in range(8))
 
 
+def test_html_tree_decides(spark):
+    """No article or main element, names that tell nothing: what goes, goes by the tree, and comes back without it."""
+    draw = random.Random(2)
+
+    def page(i):
+        body = "".join(f"<p>{' '.join(draw.choice(WORDS) for _ in range(8))}</p>" for _ in range(2 + i % 4))
+        strip = "<div class='k7'><span>Home</span><div class='k8'>All about this place</div></div>"
+        varied = f"<div class='k9'><b>Spring offer</b></div>" if i % 5 else ""
+        return f"<body>{strip}<div class='x1'><h2>Title {i}</h2>{body}<p>Read with care.</p></div>{varied}<div class='k5'>Made by us</div>"
+
+    pages = [page(i) for i in range(60)]
+    rows = [(i, f"http://{'one' if i < 50 else 'few' + str(i)}.x/{i}", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    for i, p in enumerate(pages):
+        whole = html_text.main_text(p)
+        assert all(x in whole for x in ("Home", "All about", "Made by us", "Read with care", f"Title {i}"))
+        if i < 50:
+            assert not any(x in got[i] for x in ("Home", "All about", "Made by us", "Read with care", "offer"))
+            assert got[i] == whole.replace("Home All about this place ", "").replace(" Read with care.", "").replace(" Made by us", "").replace(" Spring offer", "")
+        else:
+            assert got[i] == whole  # a host's only page says nothing about the host
+    low = html_text.style_tree(df.selectExpr("'h' AS host", "html")).where("importance < 0.2")
+    assert low.where("content IS NULL").count() and low.where("content IS NOT NULL").count()
+
+
+def test_html_long_and_broken():
+    import time
+
+    began = time.time()
+    for page in ("<p a=\"" * 150000, "<div>x" * 20000, "<a " * 300000, "<!--" * 200000, "<script>" * 100000, "</foo>" * 50000, "<b>" * 30000, "<ul><li>x" * 10000, "<p title='it\"s>" * 20000):
+        html_text.main_text(page)
+        html_text.page_tree(page)
+    assert time.time() - began < 60
+    assert html_text.main_text("a < b <3 &amp; c > d") == "a < b <3 & c > d" and html_text.main_text("<p a='x>y</p><p>z") == "y z"
+    assert html_text.main_text("<SCRIPT>x</script >y<title>t</title>z<style>") == "y z"
+
+
 def test_warc(spark, tmp_path):
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nb\n"
     rows = [(1, "http://a/\nx", tricky), (2, None, tricky), (3, "u", None), (4, "u", ""), (5, "u", "é"), (5, "u", "é")]
     path = f"file://{tmp_path}/w"
     records = warc.read_archives(spark, path, warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path))
     got = warc.assemble(records).collect()
-    assert sorted(r.capture.body for r in got) == sorted(["", "", "", tricky, "é", "é"]) and all(r.request and r.metadata for r in got)
+    assert sorted(r.capture.payload for r in got) == sorted(["", "", "", tricky, "é", "é"]) and all(r.request and r.metadata for r in got)
     assert collections.Counter(r.capture.record_type for r in got) == {"response": 4, "revisit": 2}
+    assert all(r.capture.body.startswith("HTTP/1.1 200 OK\r\n") for r in got)
+    again = warc.read_warc(spark, path).collect()  # the general reader finds the same
+    assert sorted((r.record_id, r.record_type, r.body.decode()) for r in again) == sorted((r.record_id, r.record_type, r.body) for r in records.collect())
+    assert sum(r.record_type == "warcinfo" for r in again) == 1
+    nothing = spark.createDataFrame([], "page_id long, url string, html string")
+    assert [r.record_type for r in warc.read_warc(spark, (warc.write_archives(nothing, path), path)[1]).collect()] == ["warcinfo"]
+
+
+@pytest.mark.parametrize("how", ["members", "whole", "plain"])
+def test_warc_of_others(spark, tmp_path, how):
+    """Archives as other tools write them: any order and case of fields, binary blocks, a response that names its request."""
+    import gzip
+
+    def record(kind, number, block, *more):
+        lines = ["WARC/1.0", f"content-length: {len(block)}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{number}>", *more]
+        return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    nasty = b"HTTP/1.1 200 OK\r\n\r\n\x00\xff WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n" + bytes(range(256)) * 40
+    records = [record("warcinfo", 0, b"software: x\r\n"), record("request", 1, b"GET / HTTP/1.1\r\n\r\n"), record("response", 2, nasty, "WARC-Concurrent-To: <urn:x:1>", "WARC-Target-URI: http://a/"), record("metadata", 3, b"k: v\r\n", "WARC-Concurrent-To: <urn:x:2>"), record("response", 4, b""), record("resource", 5, b"WARC/1.")]
+    for n in range(3):
+        folder = tmp_path / f"d{n}"
+        folder.mkdir()
+        data = b"".join(map(gzip.compress, records)) if how == "members" else gzip.compress(b"".join(records)) if how == "whole" else b"".join(records)
+        (folder / ("a.warc" if how == "plain" else "a.warc.gz")).write_bytes(data)
+    got = warc.read_warc(spark, f"file://{tmp_path}")
+    rows = got.collect()
+    assert collections.Counter(r.record_id for r in rows) == {f"<urn:x:{i}>": 3 for i in range(6)}
+    assert {bytes(r.body) for r in rows if r.record_id == "<urn:x:2>"} == {nasty} and {r.target_uri for r in rows if r.record_id == "<urn:x:2>"} == {"http://a/"}
+    one = {r.record_id: r for r in warc.assemble(got.dropDuplicates(["record_id"])).collect()}
+    assert set(one) == {f"<urn:x:{i}>" for i in (2, 4, 5)} and bytes(one["<urn:x:2>"].request.body).startswith(b"GET") and bytes(one["<urn:x:2>"].metadata.body) == b"k: v\r\n"
+    assert one["<urn:x:4>"].request is None
+    (tmp_path / "d0" / "cut.warc").write_bytes(records[2][:200])
+    with pytest.raises(Exception, match="shorter than its Content-Length"):
+        warc.read_warc(spark, f"file://{tmp_path}").collect()
 
 
 def test_fingerprints(spark, docs):
@@ -258,6 +330,62 @@ def test_fingerprints(spark, docs):
     assert all(order[x] == y for x, y in zip(ids, ids[1:] + ids[:1]))
 
 
+def brute_next(rows):
+    """{(id, text): next text} of rows whose ids differ."""
+    order = sorted(rows, key=lambda r: (r[0] is None, -r[0] if r[0] is not None else 0))
+    return {a: b for a, b in zip(order, order[1:] + order[:1])}
+
+
+@pytest.mark.parametrize("per_bucket", [4000, 3, 1])
+def test_fingerprint_query(spark, tmp_path, per_bucket):
+    """edited_sha256, near_edited and near_next against brute force: one range, several, and a skewed run of ids."""
+    ids = [*range(0, 20), *range(1000, 1010), 10**12, 10**15, -5]
+    rows = [(i, (TEXTS[k % len(TEXTS)] or "") + (f" {i}" if k >= len(TEXTS) else "")) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in fingerprint.fingerprints(df, per_bucket=per_bucket).collect()}
+    assert len(got) == len(rows)
+    for (i, t), (_, after) in brute_next(rows).items():
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r, a, e, b = got[i], shingles(t), shingles(edited), shingles(after)
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for near, other in ((r.near_edited, e), (r.near_next, b)):
+            real = len(a & other) / len(a | other) if a | other else 1.0
+            assert near == pytest.approx(real) if len(a | other) <= fingerprint.K else abs(near - real) < 0.15
+        assert (r.fingerprint == r.edited_fingerprint) == (a == e) or len(a | e) > fingerprint.K
+
+
+def test_fingerprint_order(spark):
+    """String and null ids, equal ids, one row, no row."""
+    rows = [(None, f"n{i}") for i in range(9)] + [("b", "x"), ("a", "y"), ("c", "z"), ("ab", "v"), ("c", "z2")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for per_bucket in (100, 2):
+        got = fingerprint.with_next(df, per_bucket=per_bucket).where("__extra = 0").collect()
+        after, at, seen = {r.text: r.next_text for r in got}, "y", []
+        while at not in seen:
+            seen.append(at)
+            at = after[at]
+        assert len(seen) == len(rows) == len(got)
+        seen = seen[1:]  # from the first null id on
+        assert {*seen[:9]} == {f"n{i}" for i in range(9)} and {*seen[9:11]} == {"z", "z2"} and seen[11:] == ["x", "v"]
+    one = fingerprint.with_next(df.where("doc_id = 'a'")).where("__extra = 0").collect()
+    assert [(r.text, r.next_text) for r in one] == [("y", "y")]
+    assert fingerprint.with_next(df.limit(0)).count() == 0
+
+
+def test_fingerprint_estimates(spark):
+    """Sketches merge as if the parts had been one text; containment and distinct counts come near the truth."""
+    parts = [[f"a{i}" for i in range(900)], [f"a{i}" for i in range(450, 1800)], [f"b{i}" for i in range(30)]]
+    df = spark.createDataFrame([("g", " ".join(p)) for p in parts[:2]] + [("h", " ".join(parts[2])), (None, "x y")], "g string, t string").select("g", "t", fingerprint.sketch(F.col("t"), width=1).alias("s"))
+    whole = spark.createDataFrame([(" ".join(parts[0] + parts[1]),)], "t string").select(fingerprint.sketch(F.col("t"), width=1)).first()[0]
+    merged = {r.g: r.s for r in fingerprint.merge_groups(df, ["g"], "s").collect()}
+    assert merged["g"] == whole and len(merged["h"]) == 30 and len(merged[None]) == 2
+    both = spark.createDataFrame([tuple(" ".join(p) for p in parts)], "a string, b string, c string").select(*[fingerprint.sketch(F.col(c), width=1).alias(c) for c in "abc"])
+    a, b, c = (F.col(x) for x in "abc")
+    inside, apart, exact, n, of_empty = both.select(fingerprint.containment(a, b), fingerprint.containment(a, c), fingerprint.distinct_count(c), fingerprint.distinct_count(fingerprint.merge(a, b)), fingerprint.containment(F.array().cast("array<bigint>"), a)).first()
+    assert abs(inside - 0.5) < 0.15 and apart == 0 and exact == 30 and abs(n - 1800) < 450 and of_empty is None
+
+
 def test_classifiers(spark, docs):
     rows = [(i, ("der die und nicht schön " if i % 2 else "the and that with such ") * 5 + prose(3), "de" if i % 2 else "en", i % 2) for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
