@@ -39,8 +39,13 @@ def distinct(z: DataFrame) -> DataFrame:
 
 
 def expand(z: DataFrame) -> DataFrame:
-    """The bag that a Z-set without negative weights stands for."""
-    return normalise(z).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(W)))).drop("__copy", W)
+    """The bag that a Z-set stands for; rows of weight below zero (deleted before they were inserted) are not in it."""
+    return normalise(z).where(F.col(W) > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col(W)))).drop("__copy", W)
+
+
+def positive(z: DataFrame) -> DataFrame:
+    """The Z-set without its rows of weight below zero."""
+    return z.where(F.col(W) > 0)
 
 
 def join(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:

@@ -31,7 +31,7 @@ TEMPLATES = {
     "q3": ([AUCTION, PERSON], "SELECT p.name, p.state, a.id FROM auction a JOIN person p ON a.seller = p.id WHERE a.category = 10 AND p.state IN ('or', 'id', 'ca')"),
     "q4": ([BID, AUCTION], "SELECT category, round(avg(best), 6) AS avg_final FROM (SELECT a.category, max(b.price) AS best FROM bid b JOIN auction a ON b.auction = a.id AND b.date_time BETWEEN a.date_time AND a.expires GROUP BY a.id, a.category) t GROUP BY category"),
     "q5": ([BID], "SELECT auction, starttime, num FROM (SELECT auction, starttime, num, max(num) OVER (PARTITION BY starttime) AS most FROM (SELECT auction, starttime, count(*) AS num FROM ({hops}) h GROUP BY auction, starttime) c) m WHERE num = most"),
-    "q7": ([BID], "SELECT b.auction, b.price, b.bidder, b.date_time FROM bid b JOIN (SELECT max(price) AS most, {day_x} AS w FROM (SELECT price, date_time AS x FROM bid) s GROUP BY {day_x}) m ON b.price = m.most WHERE b.date_time BETWEEN m.w - INTERVAL '1' DAY AND m.w"),
+    "q7": ([BID], "SELECT b.auction, b.price, b.bidder, b.date_time FROM bid b JOIN (SELECT max(price) AS most, {day_x} AS w FROM (SELECT price, date_time AS x FROM bid) s GROUP BY {day_x}) m ON b.price = m.most WHERE b.date_time BETWEEN m.w AND m.w + INTERVAL '1' DAY"),
     "q8": ([AUCTION, PERSON], "SELECT p.id, p.name, p.w AS starttime FROM (SELECT id, name, {day_x} AS w FROM (SELECT id, name, date_time AS x FROM person) s) p JOIN (SELECT DISTINCT seller, {day_x} AS w FROM (SELECT seller, date_time AS x FROM auction) s) a ON p.id = a.seller AND p.w = a.w"),
     "q9": ([BID, AUCTION], "SELECT a.id, a.item_name, a.category, w.bidder, w.price, w.date_time FROM auction a JOIN (SELECT *, row_number() OVER (PARTITION BY auction ORDER BY price DESC, date_time, event_id) AS r FROM bid) w ON a.id = w.auction WHERE w.r = 1"),
     "q12": ([BID], "SELECT bidder, {day_x} AS starttime, {day_x} + INTERVAL '1' DAY AS endtime, count(*) AS bid_count FROM (SELECT bidder, date_time AS x FROM bid) s GROUP BY bidder, {day_x}"),

@@ -16,11 +16,22 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.getCheckpointDir():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is unset: a cluster needs a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session is still there to do so."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM may have gone before
+        pass
+
+
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     """The changes of one version (path/v=N) as weighted rows: inserts and new images +1, deletes and old images -1."""
     df = spark.read.parquet(f"{path}/v={version}")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import zset
+from ..operators import recursion, zset
 from ..sources.tables import shared_dir
 from . import maintenance
 
@@ -21,6 +23,10 @@ class Engine:
     The state is versioned Parquet in the shared folder: one folder a tick and table, and a manifest that is written last,
     so a tick either counts as a whole or not at all. compact() writes a table's sum, from which later ticks go on.
 
+    Rows may be deleted before they are inserted: a row of weight below zero counts as absent until it is made up for, in snapshots and
+    changes alike. When the clock has moved between two ticks, the change of a view that looks at it tells of the rows that came
+    and went by the clock alone.
+
     A view's change comes from the tables' changes where the view is linear in each (maintenance.tables_of sees that in its
     plan), from the rows of touched keys where it was declared with keys, and else is the view now less the view before.
     """
@@ -35,10 +41,18 @@ class Engine:
         self.queued: dict[str, list[DataFrame]] = {}
         self.offsets: dict[str, int] = {}
         self.keys: dict[str, dict[str, list[str]]] = {}
+        #: Keys that views' own plans tell.
+        self.found: dict[str, dict[str, list[str]]] = {}
+        #: Rewrites a view's text once its tables are known (a program sets it).
+        self.settle: Callable[[SparkSession, str], str] = lambda spark, sql: sql
         self.append_only: set[str] = set()
         self.bases: list[int] = []
         self.compact_every = compact_every
+        #: Tables from which rows were ever deleted: only they may hold rows of weight below zero.
+        self.deleted: set[str] = set()
         self.tick, self.clock = 0, 0
+        #: The clock at the last tick and at the one before.
+        self.clocks = [0, 0]
 
     def table(self, name: str, schema: str, lateness: tuple[str, int] | None = None, append_only: bool = False) -> None:
         """lateness: (column, how far behind the newest), in microseconds for timestamps and days for dates."""
@@ -85,8 +99,17 @@ class Engine:
         return zset.normalise(self.spark.read.schema(self._empty(name).schema).parquet(*paths))
 
     def change(self, name: str) -> DataFrame:
-        """The table's own change in the last tick."""
-        return self.spark.read.schema(self._empty(name).schema).parquet(self._path(name, self.tick)) if self.tick else self._empty(name)
+        """The table's own change in the last tick, as far as it shows: rows of weight below zero don't."""
+        if not self.tick:
+            return self._empty(name)
+        raw = self.spark.read.schema(self._empty(name).schema).parquet(self._path(name, self.tick))
+        if name not in self.deleted:
+            return raw
+        keys = zset.columns(raw)
+        same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"t.`{k}`")) for k in keys]
+        old = raw.alias("t").join(self.integral(name, self.tick - 1).alias("o"), same, "left").select(*[F.col(f"t.`{k}`") for k in keys], F.col(f"t.{W}").alias("__d"), F.coalesce(F.col(f"o.{W}"), F.lit(0)).alias("__o"))
+        shown = F.greatest(F.lit(0), F.col("__o") + F.col("__d")) - F.greatest(F.lit(0), F.col("__o"))
+        return old.select(*[F.col(f"`{k}`") for k in keys], shown.cast("bigint").alias(W)).where(F.col(W) != 0)
 
     def compact(self) -> None:
         """Writes each table's sum; the next tick's manifest makes it count. Till then, and for older ticks, the ticks are read."""
@@ -107,16 +130,16 @@ class Engine:
     def _on_time(self, name: str, delta: DataFrame) -> DataFrame:
         if name not in self.lateness:
             return delta
-        column, late = self.lateness[name]
+        column, late_by = self.lateness[name]
         limit = self.frontier.get(name)
         kind, at = dict(delta.dtypes)[column], F.col(f"`{column}`")
         at = F.unix_micros(at.cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(at) if kind == "date" else at
-        kept = delta if limit is None else delta.where(at >= limit)
-        self.dropped[name] = self.dropped.get(name, 0) + (delta.count() - kept.count() if limit is not None else 0)
-        top = delta.agg(F.max(at)).first()[0]
+        late = F.lit(False) if limit is None else F.coalesce(at < limit, F.lit(True))
+        n, top = delta.agg(F.count_if(late), F.max(at)).first()
+        self.dropped[name] = self.dropped.get(name, 0) + n
         if top is not None:
-            self.frontier[name] = max(limit if limit is not None else top - late, top - late)
-        return kept
+            self.frontier[name] = max(limit if limit is not None else top - late_by, top - late_by)
+        return delta if limit is None else delta.where(at >= limit)
 
     def step(self) -> int:
         """Commits what was pushed as the next tick; late rows are those below the frontier that the tick found."""
@@ -125,9 +148,13 @@ class Engine:
             delta = self._empty(name)
             for part in self.queued.pop(name, []):
                 delta = delta.unionByName(part)
-            zset.normalise(self._on_time(name, delta)).write.mode("overwrite").parquet(self._path(name, t))
-        self.tick = t
-        state = {"tick": t, "clock": self.clock, "frontier": self.frontier, "dropped": self.dropped, "offsets": self.offsets, "bases": self.bases, "schemas": self.schemas, "views": self.views}
+            seen = Observation()
+            rows = zset.normalise(self._on_time(name, delta))
+            rows.observe(seen, F.count_if(F.col(W) < 0).alias("gone")).write.mode("overwrite").parquet(self._path(name, t))
+            if seen.get["gone"]:
+                self.deleted.add(name)
+        self.tick, self.clocks = t, [self.clock, self.clocks[0]]
+        state = {"tick": t, "clock": self.clock, "clocks": self.clocks, "deleted": sorted(self.deleted), "frontier": self.frontier, "dropped": self.dropped, "offsets": self.offsets, "bases": self.bases, "schemas": self.schemas, "views": self.views}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/tick={t}")
         if self.compact_every and t % self.compact_every == 0:
             self.compact()
@@ -141,6 +168,7 @@ class Engine:
             if changed:
                 raise ValueError(f"the state was made with other {what}: {', '.join(sorted(changed))}")
         self.offsets, self.bases = state.get("offsets", {}), state.get("bases", [])
+        self.clocks, self.deleted = state.get("clocks", [state["clock"]] * 2), set(state.get("deleted", self.schemas))
         self.tick, self.clock, self.frontier, self.dropped = state["tick"], state["clock"], state["frontier"], state["dropped"]
 
     def _view(self, view: str, frames: dict[str, DataFrame], clock: int) -> DataFrame:
@@ -148,7 +176,7 @@ class Engine:
         for name, df in frames.items():
             df.createOrReplaceTempView(name)
         for name, sql in self.views.items():
-            self.spark.sql(sql.replace(":now", str(clock))).createOrReplaceTempView(name)
+            recursion.run(self.spark, sql.replace(":now", str(clock)), self.settle).createOrReplaceTempView(name)
             if name == view:
                 return self.spark.table(name)
         raise KeyError(view)
@@ -159,25 +187,38 @@ class Engine:
         frames = {name: zset.expand(self.integral(name, t)) for name in self.schemas}
         return self._view(view, frames, self.clock if clock is None else clock)
 
+    def _texts(self, view: str) -> str:
+        """The texts of the view and of all that were declared before it, which it may read."""
+        names = list(self.views)
+        return "\n".join(self.views[n] for n in names[: names.index(view) + 1])
+
     def rule(self, view: str) -> tuple[str, list[str]]:
         """How the view's change is found ("linear", "keyed" or "whole"), and the tables that it goes by."""
+        if view not in self.keys and re.search(r"\bRECURSIVE\b", self._texts(view), re.I):
+            return "whole", list(self.schemas)
         empty = {name: self.spark.createDataFrame([], schema) for name, schema in self.schemas.items()}
-        used = maintenance.tables_of(self._view(view, empty, self.clock), set(self.schemas))
+        df = self._view(view, empty, self.clock)
+        used = maintenance.tables_of(df, set(self.schemas))
         if used:
             return "linear", sorted(used)
-        return ("keyed", list(self.keys[view])) if view in self.keys else ("whole", list(self.schemas))
+        if view not in self.keys and (found := maintenance.keys_of(df, set(self.schemas))):
+            self.found[view] = found
+        keys = self.keys.get(view) or self.found.get(view)
+        return ("keyed", list(keys)) if keys else ("whole", list(self.schemas))
 
     def delta(self, view: str, clock_before: int | None = None) -> DataFrame:
-        """The signed change of the last tick."""
-        rule, used = self.rule(view) if clock_before in (None, self.clock) else ("whole", [])
-        old, new = (lambda n: self.integral(n, self.tick - 1)), (lambda n: self.integral(n, self.tick))
+        """The signed change of the last tick; clock_before is the clock at the tick before, unless given."""
+        before, now = self.clocks[1] if clock_before is None else clock_before, self.clocks[0]
+        moved = before != now and ":now" in self._texts(view)
+        rule, used = ("whole", []) if moved else self.rule(view)
+        old, new = (lambda n: zset.positive(self.integral(n, self.tick - 1))), (lambda n: zset.positive(self.integral(n, self.tick)))
         if rule == "linear":
             rest = {n: self.spark.createDataFrame([], self.schemas[n]) for n in self.schemas if n not in used}
-            return maintenance.linear_delta(used, old, self.change, new, lambda frames: self._view(view, rest | frames, self.clock))
+            return maintenance.linear_delta(used, old, self.change, new, lambda frames: self._view(view, rest | frames, now))
         if rule == "keyed" and not any(self.change(n).limit(1).count() for n in self.schemas if n not in used):
             rest = {n: zset.expand(new(n)) for n in self.schemas if n not in used}
-            return maintenance.keyed_delta(self.keys[view], old, self.change, new, lambda frames: self._view(view, rest | frames, self.clock))
-        return zset.minus(zset.weighted(self.snapshot(view)), zset.weighted(self.snapshot(view, self.tick - 1, clock_before)))
+            return maintenance.keyed_delta(self.keys.get(view) or self.found[view], old, self.change, new, lambda frames: self._view(view, rest | frames, now))
+        return zset.minus(zset.weighted(self.snapshot(view, self.tick, now)), zset.weighted(self.snapshot(view, self.tick - 1, before)))
 
     def stats(self) -> DataFrame:
         """For each table: rows retained, rows of the last tick, frontier and late rows dropped. Counted from the state's files."""

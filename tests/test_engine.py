@@ -97,7 +97,13 @@ RULES = {
     "linear_flat": ("SELECT id, explode(array(k, id)) AS x FROM ev", None, "linear"),
     "keyed_sum": ("SELECT k, count(*) AS n, sum(id) AS s FROM ev GROUP BY k", {"ev": ["k"]}, "keyed"),
     "keyed_outer": ("SELECT n.name, e.id FROM na n LEFT JOIN ev e ON e.k = n.k", {"ev": ["k"], "na": ["k"]}, "keyed"),
-    "whole": ("SELECT DISTINCT k FROM ev", None, "whole"),
+    "found_distinct": ("SELECT DISTINCT k FROM ev", None, "keyed"),
+    "found_sum": ("SELECT n.name, count(*) AS c FROM ev e JOIN na n ON e.k = n.k GROUP BY n.name", None, "keyed"),
+    "found_outer": ("SELECT n.name, x.c FROM na n LEFT JOIN (SELECT k, count(*) AS c FROM ev GROUP BY k) x ON x.k = n.k", None, "keyed"),
+    "found_anti": ("SELECT n.name FROM na n WHERE NOT EXISTS (SELECT 1 FROM ev e WHERE e.k = n.k)", None, "whole"),
+    "found_window": ("SELECT * FROM (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM ev) t WHERE r = 1", None, "keyed"),
+    "nullable_side": ("SELECT x.k, count(*) AS c FROM na n LEFT JOIN ev x ON x.k = n.k GROUP BY x.k", None, "whole"),
+    "whole": ("SELECT count(*) AS c FROM ev", None, "whole"),
 }
 
 
@@ -127,7 +133,7 @@ def test_rules_give_the_whole_difference(spark, tmp_path, name):
     again = Engine(spark, e.root)
     again.table("ev", "id int, k int")
     again.table("na", "k int, name string")
-    again.view("v", sql)
+    again.view("v", sql, keys)
     again.recover(5)
     assert sorted(map(repr, e.snapshot("v").collect())) == before == sorted(map(repr, again.snapshot("v").collect()))
 
@@ -137,3 +143,122 @@ def test_append_only(spark, tmp_path):
     e.table("t", "a int", append_only=True)
     with pytest.raises(ValueError):
         e.push("t", [(1,)], -1)
+
+
+def added_up(engine, view, deltas):
+    total = counted(engine.snapshot(view, 0))  # a count of nothing is a row
+    for r in deltas:
+        total[tuple(r)[:-1]] = total.get(tuple(r)[:-1], 0) + r[zset.W]
+    return {k: v for k, v in total.items() if v}
+
+
+def counted(df):
+    out = {}
+    for r in df.collect():
+        out[tuple(r)] = out.get(tuple(r), 0) + 1
+    return out
+
+
+def test_clock_alone_moves_rows(spark, tmp_path):
+    """Rows that come and go by the clock are in the change of the tick that moved it, in a sink, and after a restart."""
+    e = Engine(spark, str(tmp_path / "s"))
+    e.table("t", "at bigint, v int")
+    e.view("recent", "SELECT v FROM t WHERE at > :now - 10 AND at <= :now")
+    e.view("all_rows", "SELECT v FROM t")
+    sink = Sink("recent", str(tmp_path / "log"))
+    e.push("t", [(1, 1), (5, 2), (12, 3)])
+    for clock in (5, 11, 15, 15, 40):
+        e.advance_clock(clock)
+        e.step()
+        sink.write(e)
+    assert e.delta("all_rows").count() == 0
+    log = [spark.read.parquet(f"{tmp_path}/log/tick={t}").collect() for t in range(1, 6)]
+    assert [sorted((r.v, r[zset.W]) for r in x) for x in log] == [[(1, 1), (2, 1)], [(1, -1)], [(2, -1), (3, 1)], [], [(3, -1)]]
+    again = Engine(spark, e.root)
+    again.table("t", "at bigint, v int")
+    again.view("recent", "SELECT v FROM t WHERE at > :now - 10 AND at <= :now")
+    again.recover(3)
+    assert sorted((r.v, r[zset.W]) for r in again.delta("recent").collect()) == [(2, -1), (3, 1)]
+
+
+def test_deletion_before_insertion(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"))
+    e.table("t", "k int, v int")
+    e.table("u", "k int, w int")
+    views = {"same": "SELECT * FROM t", "sums": "SELECT k, count(*) AS n FROM t GROUP BY k", "both": "SELECT t.v, u.w FROM t JOIN u ON t.k = u.k"}
+    for name, sql in views.items():
+        e.view(name, sql)
+    deltas = {name: [] for name in views}
+    for tick in ([("t", [(1, 1)], -1), ("u", [(1, 7)], 1)], [("t", [(1, 1), (1, 1), (1, 2)], 1)], [("u", [(1, 7), (1, 7)], -1)], [("u", [(1, 7)], 1), ("t", [(1, 2)], -1)], [("u", [(1, 7)], 1)]):
+        for table, rows, weight in tick:
+            e.push(table, rows, weight)
+        e.step()
+        for name in views:
+            deltas[name] += e.delta(name).collect()
+            assert added_up(e, name, deltas[name]) == counted(e.snapshot(name)), (name, e.tick)
+    assert counted(e.snapshot("same")) == {(1, 1): 1} and counted(e.snapshot("both")) == {(1, 7): 1}
+
+
+def random_view(draw):
+    """A random query over t(k, v), u(k, v) and n(k, v) with NULLs: a source, a filter, and one of the operators on top."""
+    a, b = draw.sample(["t", "u", "n"], 2)
+    where = draw.choice(["", f" WHERE {a}.v > {draw.randint(0, 4)}", f" WHERE {a}.k IS DISTINCT FROM {draw.randint(0, 5)}"])
+    return draw.choice(
+        [
+            f"SELECT {a}.k, {a}.v + 1 AS w FROM {a}{where}",
+            f"SELECT {a}.v, {b}.v AS w FROM {a} JOIN {b} ON {a}.k = {b}.k{where}",
+            f"SELECT {a}.v, {b}.v AS w FROM {a} {draw.choice(['LEFT', 'FULL', 'RIGHT'])} JOIN {b} ON {a}.k = {b}.k",
+            f"SELECT {a}.k, count(*) AS c, sum({a}.v) AS s, max({a}.v) AS m FROM {a}{where} GROUP BY {a}.k",
+            f"SELECT {b}.k, count({a}.v) AS c FROM {a} JOIN {b} ON {a}.k = {b}.k{where} GROUP BY {b}.k HAVING count(*) > 1",
+            f"SELECT DISTINCT {a}.v FROM {a}{where}",
+            f"SELECT {a}.k FROM {a}{where} UNION SELECT v FROM {b}",
+            f"SELECT k FROM {a} EXCEPT SELECT k FROM {b}",
+            f"SELECT {a}.v FROM {a} WHERE {draw.choice(['', 'NOT '])}EXISTS (SELECT 1 FROM {b} WHERE {b}.k = {a}.k)",
+            f"SELECT k, v, r FROM (SELECT k, v, rank() OVER (PARTITION BY k ORDER BY v DESC) AS r FROM {a}) x WHERE r <= 2",
+            f"SELECT count(*) AS c, min(v) AS m FROM {a}{where}",
+        ]
+    )
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_views_add_up(spark, tmp_path, seed):
+    """The changes of random views over random ticks, deletions before insertions included, add up to the views."""
+    import random
+
+    draw = random.Random(seed)
+    e = Engine(spark, str(tmp_path / "s"), compact_every=2)
+    for name in ("t", "u", "n"):
+        e.table(name, "k int, v int")
+    views = {f"v{i}": random_view(draw) for i in range(5)}
+    for name, sql in views.items():
+        e.view(name, sql)
+    deltas = {name: [] for name in views}
+    value = lambda table: None if table == "n" and draw.random() < 0.25 else draw.randint(0, 5)
+    for _ in range(3):
+        for _ in range(draw.randint(0, 6)):
+            table = draw.choice(["t", "u", "n"])
+            e.push(table, [(value(table), value(table)) for _ in range(draw.randint(1, 3))], draw.choice([1, 1, -1]))
+        e.step()
+        for name, sql in views.items():
+            deltas[name] += e.delta(name).collect()
+            assert added_up(e, name, deltas[name]) == counted(e.snapshot(name)), (sql, e.tick, e.rule(name))
+
+
+def test_recursive_view(spark, tmp_path):
+    """Reach over edges that come and go, a cycle among them."""
+    from freshet.plans import program
+
+    e = Engine(spark, str(tmp_path / "s"))
+    program.load(e, "CREATE TABLE edges (src INT, dst INT); CREATE VIEW reach AS WITH RECURSIVE r AS (SELECT src, dst FROM edges UNION ALL SELECT x.src, y.dst FROM r x JOIN edges y ON x.dst = y.src) SELECT src, dst FROM r")
+    have, deltas = set(), []
+    for add, drop in (({(1, 2), (2, 3), (3, 1), (4, 5)}, set()), ({(3, 4)}, {(1, 2)}), (set(), {(2, 3), (3, 1)})):
+        e.push("edges", sorted(add)) if add else None
+        e.push("edges", sorted(drop), -1) if drop else None
+        e.step()
+        have = have | add - drop
+        have -= drop
+        reach = set(have)
+        while more := {(a, d) for a, b in reach for c, d in have if b == c} - reach:
+            reach |= more
+        deltas += e.delta("reach").collect()
+        assert added_up(e, "reach", deltas) == counted(e.snapshot("reach")) == dict.fromkeys(reach, 1)
