@@ -33,7 +33,8 @@ class LineRuns:
 
     add(batch) drops from the batch, by a merge anti-join, the lines that are settled (already in min_docs documents), adds
     what is left as a sorted run of level 0, and compacts every level that has fanout runs into one run of the next;
-    lines that reach min_docs there move to the settled run. Counts add up because a document lies in one batch only.
+    lines that reach min_docs there move to the settled runs, which become one when there are more than fanout of them. Counts
+    add up because a document lies in one batch only.
     """
 
     def __init__(self, spark: SparkSession, scratch: Scratch, min_docs: int, fanout: int = 2):
@@ -70,6 +71,10 @@ class LineRuns:
         merged = self._run(whole)
         done = self._read([merged]).where(F.col("docs") >= self.min_docs)
         self.settled.append(self._run(done.select("h1", "h2")))
+        if len(self.settled) > self.fanout:  # no line is in two of them
+            old, self.settled = self.settled, [self._run(self._read(self.settled))]
+            for n in old:
+                self.scratch.drop(n)
         self.levels[level + 1].append(self._run(self._read([merged]).where(F.col("docs") < self.min_docs)))
         self.levels[level] = []
         for n in [*names, merged]:
@@ -132,7 +137,7 @@ def dedup_lines(df: DataFrame, *, text: str = "text", min_docs: int = 10, min_ch
     for b in range(batches):
         runs.add(listed.where(F.col("batch") == b).select("h1", "h2"))
     frequent = scratch.save(runs.frequent(), "frequent")
-    hits = listed.join(frequent, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
+    hits = listed.join(small(frequent, scratch, "frequent"), ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("__drop"))
     hits = scratch.save(hits, "hits")
     keep = others(df, *MADE)
     dressed = df.select(t.alias("__t"), F.struct(*keep).alias("__row") if keep else F.struct(F.lit(0)).alias("__row"), of_text[0].alias("t1"), of_text[1].alias("t2"))

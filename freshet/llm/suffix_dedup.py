@@ -1,8 +1,8 @@
 """Exact substring dedup by prefix doubling over ranked text positions.
 
 Positions are ranked by the strings of growing length that start there. A string's rank is a 64-bit name made from the ranks
-of its two halves (the names at the position and at an offset from it), so no round but the first reads bytes, and equal
-strings have equal ranks in every document. No sort makes the ranks: tasks work out the names, Spark deals
+of its two halves (the names at the position and at an offset from it), so equal strings have equal ranks in every document.
+No sort makes the ranks: each round's tasks read the texts again and work out the names up to its length, Spark deals
 packets of (rank, document) pairs by bucket, a range of ranks each, and numpy sorts the pairs within. Positions
 whose rank is unique to one document leave; the others are ranked again at the next length, until the strings are as long as
 the threshold.
