@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 W = "__weight"
@@ -82,3 +82,15 @@ def sums_delta(old: DataFrame, delta: DataFrame, keys: list[str], value: str) ->
 
     before = reach(old)
     return minus(totals(before.unionByName(delta)), totals(before))
+
+
+def index_by(z: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
+    """(key, value) structs with their weight: the rows keyed by some columns; values are all others unless given."""
+    values = [c for c in columns(z) if c not in keys] if values is None else values
+    named = lambda cs: F.struct(*[F.col(f"`{c}`") for c in cs]) if cs else F.struct(F.lit(True).alias("any"))
+    return z.select(named(keys).alias("key"), named(values).alias("value"), W)
+
+
+def group_project(indexed: DataFrame, make: dict[str, Column]) -> DataFrame:
+    """Plain rows of an indexed Z-set: each column from key and value; equal rows' weights are added."""
+    return normalise(indexed.select(*[c.alias(n) for n, c in make.items()], W))

@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,35 @@ class Engine:
             raise ValueError(f"{name} is append-only")
         self.queued.setdefault(name, []).append(df)
 
+    def push_arrow(self, name: str, data: pa.Table | pa.RecordBatch, weights: pa.Array | list[int] | None = None) -> None:
+        """Rows as Arrow data, with a weight for each (1 if none are given and the data has no column of them)."""
+        table = pa.Table.from_batches([data]) if isinstance(data, pa.RecordBatch) else data
+        if weights is not None:
+            table = table.append_column(W, pa.array(weights, pa.int64()))
+        df = self.spark.createDataFrame(table)
+        kinds = self.spark.createDataFrame([], self.schemas[name]).dtypes
+        self.push(name, df.select(*[F.col(f"`{c}`").cast(k).alias(c) for c, k in kinds], *([W] if W in df.columns else [])))
+
+    def delta_arrow(self, view: str) -> pa.Table:
+        """The last tick's change as an Arrow table, the weights as its last column. The change must fit the driver; sinks are for larger ones."""
+        delta = self.delta(view)
+        return delta.select(*[F.col(f"`{c}`") for c in zset.columns(delta)], W).toArrow()
+
+    def register_function(self, name: str, function: Callable | str, returns: str | None = None) -> None:
+        """A function that views may call: SQL ("(x INT) RETURNS INT RETURN x + 1"), or Python over pandas series with its type, or for aggregates one made by pandas_udf."""
+        if isinstance(function, str):
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{function}")
+        else:
+            self.spark.udf.register(name, F.pandas_udf(function, returns) if returns else function)
+
+    def last_tick(self) -> int:
+        """The last tick that the state's folder holds whole, 0 if there is none."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folders = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
+        whole = [f.getName() for f in folders if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS"))]
+        return max((int(n[5:]) for n in whole if n.startswith("tick=")), default=0)
+
     def advance_clock(self, micros: int) -> None:
         if micros < self.clock:
             raise ValueError("the clock only moves on")
