@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_rows, mix, others, pick, shingles_of, small, steps, text_key, trim, utf8
+from .common import Scratch, arrow_rows, mix, pick, shingles_of, small, steps, text_key, trim, utf8
 from .graph import components
 
 RATIO = 2.0  # of a size band's ends
@@ -271,17 +271,17 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: Freque
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, node long, k1 long, k2 long, n long")
 
 
-def links_of(df: DataFrame, *extra: Column, text: str = "text", percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
-    """(members, links, components): members has df's rows with __k1, __k2 (the text's key), __node, n_shingles and the extra columns; links (a, b) join the nodes found similar.
+def links_of(df: DataFrame, *, text: str = "text", percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+    """(texts, links, components): texts has each different text's key (__k1, __k2), its __node (null without words) and n_shingles; links (a, b) join the nodes found similar.
 
     Every two different sets whose Jaccard similarity is percent or more are linked directly or, in a large group of one
     signature, through sets that are: no component loses a link.
     """
     with arrow_rows(df.sparkSession, BATCH):
-        return _links_of(df, extra, text, percent, width)
+        return _links_of(df, text, percent, width)
 
 
-def _links_of(df: DataFrame, extra: tuple, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
+def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     t = pick(df, text, "string")
     k1, k2 = text_key(t)
@@ -400,51 +400,57 @@ def _links_of(df: DataFrame, extra: tuple, text: str, percent: int, width: int)
                 links = links.union(more)
                 found = scratch.save(components(links, scratch, "cc-more"), "components-more")
 
-    members = df.select(*others(df, *MADE), k1.alias("__k1"), k2.alias("__k2"), *extra).join(small(texts, scratch, "texts"), ["__k1", "__k2"], "left")
-    return members, links, found, scratch
+    return texts, links, found, scratch
 
 
-def _classes(members: DataFrame, found: DataFrame, doc_id: Column) -> DataFrame:
-    """(__node, root, id): each node's root, and its rows' least id."""
-    ids = members.where(F.col("__node").isNotNull()).groupBy("__node").agg(F.min(doc_id).alias("id"))
-    return ids.join(found.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node"))
+def _roots(df: DataFrame, text: str, doc_id: str, options: dict) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Scratch]:
+    """(keyed, ids, texts, roots): df's rows (as __row) with their text's key and id, the same without the rows' columns, each text's node and size, and each node's root."""
+    texts, _, found, scratch = links_of(df, text=text, **options)
+    k1, k2 = text_key(pick(df, text, "string"))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    keyed = df.select((F.struct(*kept) if kept else F.struct(F.lit(0))).alias("__row"), k1.alias("__k1"), k2.alias("__k2"), pick(df, doc_id).alias("__id"))
+    nodes = texts.where(F.col("__node").isNotNull()).select("__node").distinct()
+    roots = nodes.join(found.withColumnRenamed("node", "__node"), "__node", "left").withColumn("root", F.coalesce("root", "__node"))
+    roots = scratch.save(texts.join(roots, "__node", "left"), "roots")
+    return keyed, keyed.select("__k1", "__k2", "__id"), texts, roots, scratch
 
 
-def jaccard_components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", percent: int = 75, width: int = 5) -> DataFrame:
+def jaccard_components(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """df with n_shingles (its set's size) and component_id (the smallest doc_id that links reach, itself included).
 
-    Words are [^\\x20\\x09-\\x0D]+ of the whole text in ASCII lower case; a set is the distinct shingles of width words (all
-    words at once if there are fewer), and two sets link when 100 * common >= percent * united. Null, empty or blank texts
-    have no shingle and no link. Equal sets are one class from the start. Null doc_ids count in a component only if it has
-    no other; repeated rows are all kept; an empty table gives an empty one; input columns called like a result are replaced.
-    Sets are told apart by 64-bit hashes; links between different sets are decided on the sets themselves.
+    Options are percent (75) and width (5). Words are [^\\x20\\x09-\\x0D]+ of the whole text in ASCII lower case; a set is the distinct
+    shingles of width words (all words at once if there are fewer), and two sets link when 100 * common >= percent * united. Null,
+    empty or blank texts have no shingle and no link. Equal sets are one class from the start. Null doc_ids count in a component
+    only if it has no other; repeated rows are all kept; an empty table gives an empty one; input columns called like a result are
+    replaced. Sets are told apart by 64-bit hashes; links between different sets are decided on the sets themselves.
     """
-    members, _, found, scratch = links_of(df, pick(df, doc_id).alias("__id"), text=text, percent=percent, width=width)
-    roots = scratch.save(_classes(members, found, F.col("__id")), "roots")
-    least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = scratch.save(roots.join(least, "root").select("__node", "component_id"), "classes")
-    out = members.join(small(classes, scratch, "classes"), "__node", "left")
-    return out.select(*others(df, *MADE), "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
+    keyed, ids, _, roots, scratch = _roots(df, text, doc_id, options)
+    least = ids.join(small(roots, scratch, "roots"), ["__k1", "__k2"]).where(F.col("root").isNotNull()).groupBy("root").agg(F.min("__id").alias("component_id"))
+    verdicts = scratch.save(roots.join(least, "root", "left").select("__k1", "__k2", "n_shingles", "component_id"), "verdicts")
+    out = keyed.join(small(verdicts, scratch, "verdicts"), ["__k1", "__k2"], "left")
+    kept = [F.col(f"__row.`{c}`") for c in df.columns if c.lower() not in MADE]
+    return out.select(*kept, "n_shingles", F.coalesce("component_id", "__id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """df with one row of each component: the one with the smallest doc_id (nulls last), of rows that share it the one whose text hashes lowest.
 
     Rows that are equal in both keep the one whose other columns hash lowest. Texts without words are in no component, so all
-    their rows stay; so do all columns, whatever their names. Which row stays is settled on ids and text keys; only tied rows
-    are compared whole, by a partial aggregate.
+    their rows stay; so do all columns, whatever their names. Which row stays is settled on ids and text keys, and the rows meet
+    what is settled once; only tied rows are compared whole, by a partial aggregate.
     """
-    renamed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), pick(df, text, "string").alias("__text"), pick(df, doc_id).alias("__id"))
-    members, _, found, scratch = links_of(renamed, text="__text", **options)
-    roots = scratch.save(_classes(members, found, F.col("__id")), "roots")
+    keyed, ids, texts, roots, scratch = _roots(df, text, doc_id, options)
     key = F.struct(F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__k1").alias("k1"), F.col("__k2").alias("k2"))
-    slim = members.select("__node", key.alias("key")).join(small(roots.select("__node", "root"), scratch, "roots"), "__node")
-    counted = slim.groupBy("root", "key").agg(F.count("*").alias("c")).groupBy("root").agg(F.min(F.struct("key", "c")).alias("m"))
-    chosen = scratch.save(roots.join(counted, "root").select("__node", "root", F.col("m.key").alias("__first"), (F.col("m.c") > 1).alias("__tied")), "chosen")
-    got = members.join(small(chosen, scratch, "chosen"), "__node", "left").where(F.col("__node").isNull() | key.eqNullSafe(F.col("__first")))
-    single = got.where(F.col("__node").isNull() | ~F.col("__tied")).select("__row")
-    tied = got.where("__tied").groupBy("root").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row")).select("__row")
-    out = single.unionByName(tied)
+    slim = ids.join(small(roots, scratch, "roots"), ["__k1", "__k2"]).where(F.col("root").isNotNull()).select("root", key.alias("key"))
+    least = slim.groupBy("root", "key").agg(F.count("*").alias("c")).groupBy("root").agg(F.min(F.struct("key", "c")).alias("m"))
+    winners = least.select(F.col("m.key.k1").alias("__k1"), F.col("m.key.k2").alias("__k2"), F.col("m.key.id").alias("__first"), F.lit(False).alias("__any"), F.when(F.col("m.c") > 1, F.col("root")).alias("__tied"))
+    blank = texts.where(F.col("__node").isNull()).select("__k1", "__k2", F.lit(None).cast(winners.schema["__first"].dataType).alias("__first"), F.lit(True).alias("__any"), F.lit(None).cast("bigint").alias("__tied"))
+    winners = scratch.save(winners.unionByName(blank), "winners")
+    got = keyed.select("__row", "__k1", "__k2", "__id").join(small(winners, scratch, "winners"), ["__k1", "__k2"]).where(F.col("__any") | F.col("__id").eqNullSafe(F.col("__first")))
+    out = got.where(F.col("__tied").isNull()).select("__row")
+    if winners.where(F.col("__tied").isNotNull()).limit(1).count():
+        tied = got.where(F.col("__tied").isNotNull()).groupBy("__tied").agg(F.min_by("__row", F.xxhash64(F.to_json("__row"))).alias("__row"))
+        out = out.unionByName(tied.select("__row"))
     return out.select(*[F.col(f"__row.`{c}`") for c in df.columns])
 
 
