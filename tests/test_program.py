@@ -76,6 +76,28 @@ def test_program(spark, tmp_path):
         e.push("bid", [(1, None, at(90))], -1)
 
 
+QUERIES = [
+    ("SELECT 7 / 2 AS a, -7 / 2 AS b, 7 / 2 / 2 AS c, 7.5D / 2 AS d, CAST(7 AS DOUBLE) / 2 AS e, CAST(7.9D AS INT) / 2 AS f FROM one", [(3, -3, 1, 3.75, 3.5, 3)]),
+    ("SELECT 'abc' SIMILAR TO 'a.c' AS a, 'abc' SIMILAR TO 'a_c' AS b, 'x%' SIMILAR TO '(x|y)!%' ESCAPE '!' AS c, 'a.c' SIMILAR TO 'a[.x]c' AS d FROM one", [(False, True, True, True)]),
+    (r"SELECT REGEXP_REPLACE('abcb', '(b)', '[$1]') AS a, REGEXP_REPLACE('abab', '(a)(b)\1', '\2\&') AS b, REGEXP_REPLACE('aXbx', 'x', '-', 'gi') AS c FROM one", [("a[$1]cb", "babab", "a-b-")]),
+    ("SELECT LN(0) AS a, LN(NULL) AS b, FLOOR(2.5D) AS c, CEIL(-2.5D) AS d, FLOOR(7) AS e, UPPER('straße') AS f FROM one", [(float("-inf"), None, 2.0, -2.0, 7, "STRAßE")]),
+    ("SELECT DATE_TRUNC('month', DATE '2024-03-15') AS a, DATEADD('day', 20, DATE '2024-03-15') AS b, DATE_TRUNC('hour', TIMESTAMP_NTZ '2024-03-15 10:20:30') AS c FROM one", [(dt.date(2024, 3, 1), dt.date(2024, 4, 4), dt.datetime(2024, 3, 15, 10))]),
+    ("SELECT x, LAST_VALUE(x) OVER (ORDER BY x DESC) AS l, ROW_NUMBER() OVER (ORDER BY x) AS r FROM some ORDER BY x", [(1, 1, 1), (2, 1, 2), (None, 1, 3)]),
+    ("SELECT 1 IN (SELECT x FROM some) AS a, 5 IN (SELECT x FROM some) AS b, 5 NOT IN (SELECT x FROM some) AS c, 5 NOT IN (SELECT x FROM some WHERE x > 0) AS d FROM one", [(True, None, None, True)]),
+    ("SELECT x FROM some ORDER BY x DESC OFFSET 1 ROW FETCH FIRST 1 ROW ONLY", [(2,)]),
+    ("SELECT 'it''s' AS a, 'x\\y' AS b FROM one", [("it's", "x\\y")]),
+    ("WITH RECURSIVE r(a, b) AS (SELECT x, x % 2 + 1 FROM some WHERE x IS NOT NULL UNION ALL SELECT p.a, q.b FROM r p JOIN r q ON p.b = q.a), n AS (SELECT count(*) AS c FROM r) SELECT c FROM n", [(4,)]),
+]
+
+
+@pytest.mark.parametrize("text,want", QUERIES)
+def test_queries(spark, text, want):
+    """Where the dialect's meaning is another than Spark's."""
+    spark.sql("SELECT 1 AS one").createOrReplaceTempView("one")
+    spark.createDataFrame([(2,), (None,), (1,)], "x int").createOrReplaceTempView("some")
+    assert [tuple(r) for r in program.query(spark, text).collect()] == want
+
+
 @pytest.mark.parametrize("bad", ["DROP TABLE t", "CREATE TABLE t (a BLOB)", "CREATE TABLE t (a INT) WITH ('x' = 'y')"])
 def test_rejects(spark, tmp_path, bad):
     with pytest.raises(ValueError):
