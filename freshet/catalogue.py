@@ -107,12 +107,17 @@ BOTH |= {
     "set_precedence": "SELECT n_nationkey AS k FROM nation UNION (SELECT c_nationkey AS k FROM customer INTERSECT SELECT n_regionkey AS k FROM nation)",
     "several_ctes": "WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT k FROM a WHERE n > 10) SELECT c.c_name, a.n FROM customer c JOIN a ON a.k = c.c_custkey WHERE c.c_custkey IN (SELECT k FROM b)",
     "in_subquery_negated_null": "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT nullif(r_regionkey, 1) FROM region) OR n_nationkey < 3",
+    "qualified_star": "SELECT n.*, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
+    "window_stddev": "SELECT event_id, round(stddev_samp(value) OVER (PARTITION BY user_id), 6) AS s, round(var_pop(value) OVER (PARTITION BY user_id), 4) AS v FROM events",
+    "limit_all": "SELECT r_regionkey FROM region ORDER BY r_regionkey LIMIT ALL",
     "nested_case_cast": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN CAST(o_orderkey AS DOUBLE) / 4 ELSE 0.0 END AS x, CAST(o_orderkey % 2 AS BOOLEAN) AS b FROM orders",
 }
 
 PAIRS: dict[str, tuple[str, str]] = {
     "stddev_variance": ("SELECT event_type, round(stddev_samp(value), 6) AS a, round(var_pop(value), 4) AS b FROM events GROUP BY event_type", "SELECT event_type, round(stddev_samp(value), 6) AS a, round(var_pop(value), 4) AS b FROM events GROUP BY event_type"),
     "median_percentile": ("SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS m, percentile_disc(0.25) WITHIN GROUP (ORDER BY value) AS d FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS m, quantile_disc(value, 0.25) AS d FROM events GROUP BY event_type"),
+    "percentile_date": ("SELECT event_type, date_from_unix_date(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_date(CAST(ts AS DATE))) AS INT)) AS m, date_from_unix_date(CAST(floor(percentile_cont(0.25) WITHIN GROUP (ORDER BY unix_date(CAST(ts AS DATE)))) AS INT)) AS c FROM events GROUP BY event_type", "SELECT event_type, quantile_disc(CAST(ts AS DATE), 0.5) AS m, CAST(quantile_cont(CAST(ts AS DATE), 0.25) AS DATE) AS c FROM events GROUP BY event_type"),
+    "percentile_interval": ("SELECT event_type, percentile_disc(0.5) WITHIN GROUP (ORDER BY CAST(unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000 AS BIGINT)) / 1e6D AS s FROM events GROUP BY event_type", "SELECT event_type, epoch(quantile_disc(ts - TIMESTAMP '2024-01-01 00:00:00', 0.5)) AS s FROM events GROUP BY event_type"),
     "percentile_timestamp": ("SELECT event_type, CAST(timestamp_micros(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(CAST(ts AS TIMESTAMP))) AS BIGINT)) AS TIMESTAMP_NTZ) AS m FROM events GROUP BY event_type", "SELECT event_type, quantile_disc(ts, 0.5) AS m FROM events GROUP BY event_type"),
 }
 
@@ -162,6 +167,10 @@ DIALECT: dict[str, tuple[str, str]] = {
     "fetch_first": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey OFFSET 3 ROWS FETCH NEXT 5 ROWS ONLY", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 5 OFFSET 3"),
     "row_number_ties": ("SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, ROW_NUMBER() OVER (PARTITION BY c_mktsegment ORDER BY c_mktsegment) AS r FROM (SELECT c_custkey, c_mktsegment FROM customer) c) t WHERE r <= 2", "SELECT c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) t WHERE r <= 2"),
     "nulls_high": ("SELECT event_id, RANK() OVER (ORDER BY nullif(user_id, 3)) AS a, RANK() OVER (ORDER BY nullif(user_id, 3) DESC) AS d FROM events", "SELECT event_id, rank() OVER (ORDER BY nullif(user_id, 3) NULLS LAST) AS a, rank() OVER (ORDER BY nullif(user_id, 3) DESC NULLS FIRST) AS d FROM events"),
+    "cast_matrix": (
+        "SELECT event_id, CAST(CAST(event_id AS VARCHAR) AS BIGINT) AS a, CAST(event_id % 2 AS BOOLEAN) AS b, CAST(CAST(event_id % 2 AS BOOLEAN) AS INTEGER) AS c, CAST(event_id AS DOUBLE PRECISION) AS d, CAST(CAST(event_id AS DECIMAL(12, 2)) AS DOUBLE) AS e, CAST('2024-02-29' AS DATE) AS f, CAST(CAST(ts AS DATE) AS VARCHAR) AS g, CAST(NULL AS INTEGER) AS h, CAST(event_id % 100 AS SMALLINT) AS i FROM events",
+        "SELECT event_id, CAST(CAST(event_id AS VARCHAR) AS BIGINT) AS a, CAST(event_id % 2 AS BOOLEAN) AS b, CAST(CAST(event_id % 2 AS BOOLEAN) AS INTEGER) AS c, CAST(event_id AS DOUBLE) AS d, CAST(CAST(event_id AS DECIMAL(12, 2)) AS DOUBLE) AS e, CAST('2024-02-29' AS DATE) AS f, CAST(CAST(ts AS DATE) AS VARCHAR) AS g, CAST(NULL AS INTEGER) AS h, CAST(event_id % 100 AS SMALLINT) AS i FROM events",
+    ),
     "recursive_cycle": (
         "WITH RECURSIVE r(src, dst) AS (SELECT n_nationkey, n_nationkey * 3 % 25 FROM nation UNION ALL SELECT x.src, y.dst FROM r x JOIN r y ON x.dst = y.src) SELECT src, dst FROM r",
         "WITH RECURSIVE e AS (SELECT n_nationkey AS src, n_nationkey * 3 % 25 AS dst FROM nation), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r",

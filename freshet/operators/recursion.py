@@ -45,6 +45,11 @@ def fixpoint(base: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
     raise RuntimeError("the recursion did not settle")
 
 
+def naive(base: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 10_000) -> DataFrame:
+    """The same set with step over all rows in every round: for steps whose rows don't follow from single rows alone."""
+    return fixpoint(base, lambda new, every: step(every), most_rounds)
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) that edges (src, dst) lead from and to, in rounds that double the paths' length: their number is the logarithm of the longest."""
 
