@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
 
-from .common import SPACE, let, pick
+from .common import SPACE, Scratch, let, pick, small
 
 K, BITS, WIDTH = 128, 48, 5
 DIGITS = BITS // 4
@@ -109,8 +109,9 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", per_buc
     tops = d.groupBy("__b").agg(F.max(place).alias("__top"))
     everything = Window.orderBy("__b")
     goes = F.coalesce(F.lead("__b").over(everything), F.first("__b").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tops = tops.select(F.col("__b"), "__top", goes.alias("__to"))  # a row for each range
-    d = d.join(tops, "__b")  # ids and numbers alone on one side: Spark broadcasts it while it is small
+    scratch = Scratch(df.sparkSession)
+    tops = scratch.save(tops.select(F.col("__b"), "__top", goes.alias("__to")), "tops")  # a row for each range
+    d = d.join(small(tops, scratch, "tops"), "__b")
     here, there = F.struct(F.col("__b").alias("b"), F.lit(0).alias("extra")), F.struct(F.col("__to").alias("b"), F.lit(1).alias("extra"))
     sent = F.when(place == F.col("__top"), F.array(here, there)).otherwise(F.array(here))
     d = d.select("doc_id", "text", "__h", F.explode(sent).alias("s")).select("doc_id", "text", "__h", F.col("s.b").alias("__b"), F.col("s.extra").alias("__extra"))
