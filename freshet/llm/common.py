@@ -106,6 +106,12 @@ def others(df: DataFrame, *made: str) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
 
 
+def aliased(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, Column]]:
+    """df with its columns called __c0, __c1, ... but for those in names, and for each old name the column that gives it back: so no name meets an operator's, and no text travels twice."""
+    new = {c: c if c in names else f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), {c: F.col(f"`{n}`").alias(c) for c, n in new.items()}
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value worked out once per row even where body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]

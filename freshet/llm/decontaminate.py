@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import Scratch, mix, others, pick, small, steps, text_key, utf8
+from .common import Scratch, aliased, mix, others, pick, small, steps, text_key, utf8
 
 #: ASCII letters and digits stay (letters in lower case), as do bytes of other characters (folded before); all else parts words.
 _PLAIN = np.full(256, 32, np.uint8)
@@ -346,9 +346,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of df in which find_leaks finds nothing, with all their columns; null and empty texts stay, as do repeated rows."""
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), pick(df, options.pop("text", "text"), "string").alias("text"))
-    clean = find_leaks(row, benchmark, **options).where(F.size("leaks") == 0)
-    return clean.select(*[F.col(f"row.`{c}`") for c in df.columns])
+    renamed, back = aliased(df, options.get("text", "text"))
+    return find_leaks(renamed, benchmark, **options).where(F.size("leaks") == 0).select(*back.values())
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
