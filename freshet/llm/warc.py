@@ -197,7 +197,7 @@ def op7(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = Scratch(spark).path("warc")
     records = read_archives(spark, path, write_archives(pages, path))
-    records = records.withColumn("sha1", F.when(F.col("record_type") == "response", sha1_base32(F.col("body")))).withColumn("n_bytes", F.octet_length("body")).withColumn("facts", F.when(F.col("record_type") == "metadata", F.col("body"))).drop("body")
+    records = records.withColumn("sha1", F.when(F.col("record_type") == "response", sha1_base32(F.col("payload")))).withColumn("n_bytes", F.octet_length("payload")).withColumn("facts", F.when(F.col("record_type") == "metadata", F.col("body"))).drop("body", "payload")
     captures = assemble(records)
     kind = pages.schema["page_id"].dataType
     fact = lambda name: F.nullif(F.regexp_extract("metadata.facts", rf"(?m)^{name}: ([^\r]*)", 1), F.lit(""))

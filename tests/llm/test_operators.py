@@ -1,5 +1,6 @@
 """The corpus operators against brute force, on small rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -288,6 +289,15 @@ def test_warc(spark, tmp_path):
     assert [r.record_type for r in warc.read_warc(spark, (warc.write_archives(nothing, path), path)[1]).collect()] == ["warcinfo"]
 
 
+def test_warc_query(spark, tmp_path):
+    rows = [(1, "http://a/", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é\r\n\r\ny"), (7, "u", "<p>x</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    payloads = {i: (html or "").encode() for i, _, html in rows}
+    firsts = {i: min(j for j in payloads if payloads[j] == p) for i, p in payloads.items()}
+    want = [(i, len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if firsts[i] == i else "revisit", None if firsts[i] == i else firsts[i]) for i, p in payloads.items()]
+    assert sorted(map(tuple, warc.op7(spark, f"file://{tmp_path}").collect())) == want
+
+
 @pytest.mark.parametrize("how", ["members", "whole", "plain"])
 def test_warc_of_others(spark, tmp_path, how):
     """Archives as other tools write them: any order and case of fields, binary blocks, a response that names its request."""
