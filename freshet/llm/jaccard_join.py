@@ -307,11 +307,12 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
                 yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "sure", "elements", "sketch"])
 
     shared = spark.sparkContext.broadcast(frequent)
-    tagged = groups.join(groups.groupBy("sig").agg(F.count("*").alias("c")), "sig").where("c > 1")
-    few = tagged.where(F.col("c") <= GROUP).select("sig", "node")
+    big = scratch.save(groups.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("sig"), "big")
+    big = small(big, scratch, "big")
+    few = groups.join(big, "sig", "left_anti")
     pairs = few.join(few.select("sig", F.col("node").alias("b")), "sig").where("node < b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
     pairs = scratch.save(pairs, "pairs")
-    large = scratch.save(tagged.where(F.col("c") > GROUP).select("sig", "node"), "large")
+    large = scratch.save(groups.join(big, "sig", "left_semi"), "large")
     # the centre of a large group is the member of most large groups: of edited copies that is what they were made from
     reach = large.groupBy("node").agg(F.count("*").alias("k"))
     centres = large.join(reach, "node").groupBy("sig").agg(F.max_by("node", F.struct("k", "node")).alias("first"))
@@ -344,8 +345,14 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
     least = F.aggregate(both, F.lit(0).cast("bigint"), lambda sum_, k: sum_ + agree(F.greatest(F.col("sure_a")[k], F.col("sure_b")[k]), differ))
     counted = fits(pairs).where(F.col("shared") >= least)
     passed = fits(pairs).join(small(is_hot, scratch, "hot").withColumnRenamed("node", "a"), "a", "left_semi").join(small(is_hot, scratch, "hot").withColumnRenamed("node", "b"), "b", "left_semi")
-    first = scratch.save(counted.select("a", "b").union(passed.select("a", "b")).union(fits(star).select("a", "b")).distinct(), "first")
-    one = sets.select("node", "elements").dropDuplicates(["node"])
+    stars = scratch.save(fits(star).select("a", "b").distinct(), "stars")  # all measured: how far strays are from their centre
+    others = scratch.save(counted.select("a", "b", "n_a", "n_b").union(passed.select("a", "b", "n_a", "n_b")).distinct(), "others")
+    sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    for x in ("a", "b"):
+        others = others.join(sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
+    apart = sum(F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH))
+    others = others.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    first = scratch.save(others.select("a", "b").union(stars).distinct(), "first")
 
     def verify(it):
         for rb in it:
@@ -359,6 +366,9 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
             trim()
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs (a, b), a scratch table, as measured on their sets; sets of no pair stay where they are."""
+        needed = scratch.save(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{name}-nodes")
+        one = sets.select("node", "elements").join(small(needed, scratch, f"{name}-nodes"), "node", "left_semi").dropDuplicates(["node"])
         with_sets = pairs.join(one.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
         return scratch.save(with_sets.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, ok boolean, far double"), name)
 

@@ -97,6 +97,27 @@ def test_jaccard_families(spark):
     assert got == want and len(set(want.values())) > 20
 
 
+def shuffled(spark):
+    """(bytes, rows) that all stages so far have written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return [sum(f(stages.apply(i)) for i in range(stages.size())) for f in (lambda s: s.shuffleWriteBytes(), lambda s: s.shuffleWriteRecords())]
+
+
+def test_jaccard_moves_needed_sets(spark):
+    """A look at a family's strays doesn't shuffle all sets that are in some pair once more."""
+    draw = random.Random(12)
+    core = [f"c{k}" for k in range(600)]
+    rows = [" ".join([w for w in core if draw.random() < (0.97 if i % 2 else 0.8)] + [f"o{i}y{k}" for k in range(30)]) for i in range(100)]
+    rows += [" ".join(f"p{i // 2}x{k}" for k in range(i % 2 * 20, 800)) for i in range(400)]
+    sets = {i: set(t.split()) for i, t in enumerate(rows)}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    before = shuffled(spark)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, width=1).collect()}
+    assert got == brute_components(sets)
+    assert shuffled(spark)[0] - before[0] < 8.5 * sum(8 * len(s) for s in sets.values())
+
+
 def test_signatures_guarantee():
     """Similar sets share a signature, as many as the bound says where no element is frequent; choices of partitions are what they sign with."""
     import numpy as np
