@@ -25,7 +25,7 @@ PARTS, SPOILT = 3, 1
 MADE = ("n_shingles", "component_id")
 #: Groups of one signature up to this size give all their pairs, larger ones a star at first.
 GROUP = 64
-#: Members of a large group that meet its strays in one task.
+#: Members of a family that meet a block of its strays at a time.
 BLOCK = 512
 #: Texts, or pairs of sets, that Python holds at a time.
 BATCH = 2000
@@ -271,6 +271,30 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: Freque
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "sig long, node long, k1 long, k2 long, n long")
 
 
+def _meet(percent: int, it):
+    """Rows (strays, others) of a family's members -> (a, b): the pairs of different components that sizes, the triangle inequality of distances and parity sketches let be similar enough."""
+    most = (100 - percent) / 100 + 1e-9
+
+    def members(packs: pa.ListArray, i: int) -> dict[str, np.ndarray]:
+        m = packs[i].values
+        out = {name: m.field(name).to_numpy(zero_copy_only=False) for name in ("node", "root", "n", "low", "high", "stray")}
+        return out | {"sketch": m.field("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)}
+
+    for rb in it:
+        got = [np.zeros((2, 0), np.int64)]
+        for i in range(rb.num_rows):
+            x, y = members(rb.column(0), i), members(rb.column(1), i)
+            for k in range(len(x["node"])):
+                node, n = x["node"][k], x["n"][k]
+                ok = (y["root"] != x["root"][k]) & (~y["stray"] | (y["node"] > node)) & (np.minimum(y["n"], n) * 100 >= np.maximum(y["n"], n) * percent)
+                at = np.flatnonzero(ok & (x["low"][k] - y["high"] <= most) & (y["low"] - x["high"][k] <= most))
+                apart = np.bitwise_count(y["sketch"][at] ^ x["sketch"][k]).sum(1, dtype=np.int64)
+                b = y["node"][at[apart * (100 + percent) <= (y["n"][at] + n) * (100 - percent)]]
+                got.append(np.stack([np.minimum(b, node), np.maximum(b, node)]))
+        a, b = np.concatenate(got, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def links_of(df: DataFrame, *, text: str = "text", percent: int = 75, width: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, Scratch]:
     """(texts, links, components): texts has each different text's key (__k1, __k2), its __node (null without words) and n_shingles; links (a, b) join the nodes found similar.
 
@@ -383,28 +407,24 @@ def _links_of(df: DataFrame, text: str, percent: int, width: int) -> tuple[DataF
         need = F.greatest(F.lit(1), F.array_min(F.transform(F.map_values("sure"), lambda f: agree(f, widest))))
         may = large.groupBy("node").agg(F.count("*").alias("k")).join(facts, "node").where(F.col("k") >= need).select("node", "n")
         may = scratch.save(may.join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")), "may")
-        spread = scratch.save(large.join(may, "node"), "hot-rows")  # read three times below
-        kinds = spread.groupBy("sig", "root").agg(F.count("*").alias("c"))
-        open_ = kinds.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+        # A family is what has one centre: its members meet once, however many signatures they share. Those of its largest
+        # component need no look at one another: only the strays meet all others, in blocks of numpy rows.
+        family = large.select("first", "node").distinct().join(may, "node")
+        kinds = family.groupBy("first", "root").agg(F.count("*").alias("c"))
+        open_ = kinds.groupBy("first").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
         open_ = scratch.save(open_, "open")
         if open_.limit(1).count():
             centre = facts.select(F.col("node").alias("first"), F.col("n").alias("n_first"))
-            spread = spread.join(small(open_, scratch, "open"), "sig").join(centre, "first").join(measured.select(F.col("a").alias("first"), F.col("b").alias("node"), "far"), ["first", "node"], "left")
+            family = family.join(small(open_, scratch, "open"), "first").join(centre, "first").join(measured.select(F.col("a").alias("first"), F.col("b").alias("node"), "far"), ["first", "node"], "left").join(sketches, "node")
             at_least = 1 - F.least("n", "n_first") / F.greatest("n", "n_first")
-            spread = spread.withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far")))
-            step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-            spread = spread.select("sig", "node", "root", "main", "blocks", "n", F.coalesce("far", at_least).alias("low"), F.coalesce("far", F.lit(1.0)).alias("high"), step.alias("step"))
-            sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch")).select("node", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)])
-            spread = scratch.save(spread.join(spread.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(sketches, "node"), "node"), "spread")
-            scratch.drop("hot-rows")
-            # The members of a group's largest component need no look at one another: only the strays meet all others, which
-            # are dealt into blocks so that no task has a whole group. Of sizes only neighbouring steps meet.
-            strays = spread.where(F.col("root") != F.col("main")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("main", "blocks")
-            other = spread.select("sig", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("b"), F.col("root").alias("root_b"), (F.col("root") == F.col("main")).alias("main_b"), F.col("n").alias("n_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.col("sigs").alias("sigs_b"), *[F.col(f"s{i}").alias(f"z{i}") for i in range(SKETCH)], F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-            most = F.lit((100 - percent) / 100 + 1e-9)
-            apart = sum(F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"z{i}"))) for i in range(SKETCH))
-            rest = strays.join(other, ["sig", "block", "step"]).where((F.col("root") != F.col("root_b")) & (F.col("main_b") | (F.col("node") < F.col("b"))) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent) & (F.col("low") - F.col("high_b") <= most) & (F.col("low_b") - F.col("high") <= most) & (apart * (100 + percent) <= (F.col("n") + F.col("n_b")) * (100 - percent)) & (F.array_min(F.array_intersect("sigs", "sigs_b")) == F.col("sig")))  # each pair once
-            rest = scratch.save(rest.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "rest")
+            far = F.when(F.col("node") == F.col("first"), 0.0).otherwise(F.col("far"))
+            member = F.struct("node", "root", "n", F.coalesce(far, at_least).alias("low"), F.coalesce(far, F.lit(1.0)).alias("high"), (F.col("root") != F.col("main")).alias("stray"), "sketch")
+            block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+            packs = scratch.save(family.select("first", "blocks", block.alias("block"), member.alias("m")).groupBy("first", "blocks", "block").agg(F.collect_list("m").alias("others")), "packs")
+            strays = packs.select("first", F.filter("others", lambda m: m["stray"]).alias("strays"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where(F.size("strays") > 0)
+            with arrow_rows(spark, 16):
+                rest = scratch.save(strays.join(packs.select("first", "block", "others"), ["first", "block"]).select("strays", "others").mapInArrow(functools.partial(_meet, percent), "a long, b long"), "met")
+            rest = scratch.save(rest.distinct().join(first, ["a", "b"], "left_anti"), "rest")
             more = checked(rest, "more").where("ok").select("a", "b")
             if more.limit(1).count():
                 links = links.union(more)

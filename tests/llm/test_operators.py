@@ -118,6 +118,20 @@ def test_jaccard_moves_needed_sets(spark):
     assert shuffled(spark)[0] - before[0] < 8.5 * sum(8 * len(s) for s in sets.values())
 
 
+def test_jaccard_strays_meet_once(spark):
+    """A family's members meet its strays once, not once for each of the many signatures they share: nothing is shuffled for those but the signatures."""
+    draw = random.Random(12)
+    core = [f"c{k}" for k in range(600)]
+    rows = [" ".join([w for w in core if draw.random() < (0.97 if i % 2 else 0.8)] + [f"o{i}y{k}" for k in range(30)]) for i in range(240)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    before = shuffled(spark)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, width=1).collect()}
+    records = shuffled(spark)[1] - before[1]
+    want = brute_components({i: set(t.split()) for i, t in enumerate(rows)})
+    assert got == want and len(set(want.values())) > 100
+    assert records < 60000  # some 27000 signatures are shared
+
+
 def test_signatures_guarantee():
     """Similar sets share a signature, as many as the bound says where no element is frequent; choices of partitions are what they sign with."""
     import numpy as np
