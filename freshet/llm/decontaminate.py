@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import Scratch, aliased, mix, others, pick, small, steps, text_key, utf8
+from .common import Scratch, aliased, mix, others, pick, small, steps, text_key, trim, utf8
 
 #: ASCII letters and digits stay (letters in lower case), as do bytes of other characters (folded before); all else parts words.
 _PLAIN = np.full(256, 32, np.uint8)
@@ -331,6 +331,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
                         found[a + r].append({"item_id": ids[item], "piece": k, "start": s, "stop": t, "edits": e})
                 out = pa.RecordBatch.from_arrays([*rb.columns[1:], pa.array(found, kind)], names=[*carried, "leaks"])
                 yield out.filter(pa.array([bool(x) for x in found], pa.bool_())) if hits_alone else out
+                del rb, offsets, data, found, out
+                trim()
 
         return texts.select("__t", *carried).mapInArrow(run, StructType([*[texts.schema[c] for c in carried], StructField("leaks", ArrayType(hit))]))
 
