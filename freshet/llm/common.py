@@ -76,15 +76,18 @@ class Scratch:
 
 
 @contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """While jobs run in it, Python gets batches of so many rows at most: its memory, and what a batch settles by itself, grow with them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(min(rows, int(before or rows))))
+def arrow_rows(spark: SparkSession, rows: int, size: int | None = None):
+    """While jobs run in it, Python gets batches of so many rows, and so many bytes, at most: its memory, and what a batch settles by itself, grow with them."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.execution.arrow.maxBytesPerBatch": size} if size else {})
+    before = {name: spark.conf.get(name, None) for name in limits}
+    for name, most in limits.items():
+        had = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before[name] or "0")
+        spark.conf.set(name, str(min(most, had) if had > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+        for name, had in before.items():
+            spark.conf.set(name, had) if had is not None else spark.conf.unset(name)
 
 
 def small(df: DataFrame, scratch: Scratch, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -29,8 +29,12 @@ GROUP = 64
 BLOCK = 512
 #: Texts, or pairs of sets, that Python holds at a time.
 BATCH = 2000
+#: Bytes of a batch that Python gets, where its rows are large.
+BATCH_BYTES = 8 << 20
 #: Entries in a row that is shuffled.
 PACKET = 1 << 15
+#: Entries of a bucket that are sorted at a time, about.
+SPAN = 1 << 17
 #: Bits of a signature beside those that its bucket stands for.
 BITS = 40
 #: 64-bit words of a set's parity sketch.
@@ -46,6 +50,8 @@ def text_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndar
 
 def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
     """The sets' own 64-bit hashes, below 0 never, so that they can stand in a bigint; -1 for an empty set."""
+    if len(sets) > 256:
+        return np.concatenate([nodes_of(sets[a : a + 256]) for a in range(0, len(sets), 256)])
     count = np.array([len(s) for s in sets], np.int64)
     sums = np.append(np.zeros(1, np.uint64), np.cumsum(mix(np.concatenate(sets)) if len(sets) else np.zeros(0, np.uint64)))
     ends = np.cumsum(count)
@@ -181,6 +187,63 @@ def _frequent(docs: DataFrame, width: int, share: int = 8, least: int = 3, most:
     return Frequent(h.view(np.uint64).copy() if len(h) else np.zeros(0, np.uint64), np.array(c, np.int64))
 
 
+def packets(rb: pa.RecordBatch, sets: list[np.ndarray], percent: int, frequent: Frequent, buckets: int) -> list[tuple]:
+    """The rows (bucket, kind, blobs) that a batch of texts (t, k1, k2) with these sets sends: see candidate_groups. Kind 0 is in the order of signatures."""
+    nodes = nodes_of(sets)
+    fresh = np.unique(nodes, return_index=True)[1]
+    fresh = fresh[nodes[fresh] >= 0]
+    known = np.sort(nodes[fresh])
+    sigs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+    for a in range(0, len(fresh), 256):
+        part = fresh[a : a + 256]
+        g, o, _ = signatures([sets[i] for i in part], percent, frequent)
+        sigs.append((g >> np.uint64(BITS)) % np.uint64(buckets) << np.uint64(BITS) | g & np.uint64((1 << BITS) - 1))  # in the order of buckets
+        places.append(np.searchsorted(known, nodes[part]).astype(np.uint16)[o])
+        del g, o
+    sig, place = np.concatenate(sigs), np.concatenate(places)
+    del sigs, places
+    order = np.argsort(sig)
+    sig, place = sig[order], place[order]
+    del order
+    first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
+    several = ~first | np.append(~first[1:], False)[: len(sig)]
+    rest, spots = sig[several], known[place[several]]
+    s, n = sig[first], place[first]
+    del sig, place, first, several
+    edges = np.searchsorted(s, np.arange(buckets + 1).astype(np.uint64) << np.uint64(BITS))
+    rows = []
+    for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
+        for v in range(x, y, PACKET):
+            part = s[v : min(v + PACKET, y)]
+            here, spot = np.unique(n[v : min(v + PACKET, y)], return_inverse=True)
+            rows.append((k, 0, part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes(), spot.astype(np.uint16).tobytes(), known[here].tobytes()))
+    rows += [(int(rest[v] % np.uint64(buckets)), 1, rest[v : v + PACKET].tobytes(), spots[v : v + PACKET].tobytes(), None, None) for v in range(0, len(rest), PACKET)]
+    size = np.array([len(x) for x in sets], np.int64)
+    k1, k2 = (rb.column(i).to_numpy() for i in (1, 2))
+    rows += [(int(k1[v] % buckets), 2, k1[v : v + PACKET].tobytes(), nodes[v : v + PACKET].tobytes(), k2[v : v + PACKET].tobytes(), size[v : v + PACKET].tobytes()) for v in range(0, len(k1), PACKET)]
+    return rows
+
+
+def common(bucket: int, held: list[list[bytes]]):
+    """(sig, node) of the signatures that several sets of a bucket's packets share: a range of signatures at a time, of some SPAN entries."""
+    total = sum(len(h[1]) for h in held)
+    ranges = min(256, 1 << (total // SPAN).bit_length())
+    begins = np.arange(0, 256, 256 // ranges).astype(np.uint8)
+    cuts = [np.append(np.searchsorted(np.frombuffer(h[1], np.uint8), begins), len(h[1])) for h in held]  # a packet is in the order of signatures
+    for r in range(ranges):
+        low, high, place = ([np.frombuffer(h[i], kind)[c[r] : c[r + 1]] for h, c in zip(held, cuts)] for i, kind in enumerate((np.uint32, np.uint8, np.uint16)))
+        sig = np.uint64(bucket << BITS) | np.concatenate(high).astype(np.uint64) << np.uint64(32) | np.concatenate(low)
+        node = np.concatenate([np.frombuffer(h[3], np.int64)[p] for h, p in zip(held, place)])
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))[: len(sig)]
+        sig, node = sig[fresh], node[fresh]
+        same = np.append(False, sig[1:] == sig[:-1])[: len(sig)]
+        keep = same | np.append(same[1:], False)[: len(sig)]
+        if keep.any():
+            yield sig[keep], node[keep]
+
+
 def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: Frequent, buckets: int) -> DataFrame:
     """docs (t, k1, k2) -> rows (sig, node): all signatures that two different sets or more share, and those sets; and rows (node, k1, k2, n): each text's set and its size (no node if it is empty).
 
@@ -191,47 +254,13 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: Freque
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def packets(rb: pa.RecordBatch, sets: list[np.ndarray]) -> list[tuple]:
-        nodes = nodes_of(sets)
-        fresh = np.unique(nodes, return_index=True)[1]
-        fresh = fresh[nodes[fresh] >= 0]
-        got = []
-        for a in range(0, len(fresh), 256):
-            part = fresh[a : a + 256]
-            g, o, _ = signatures([sets[i] for i in part], percent, shared.value)
-            got.append((g, nodes[part][o]))
-        sig = np.concatenate([g for g, _ in got] or [np.zeros(0, np.uint64)])
-        node = np.concatenate([n for _, n in got] or [np.zeros(0, np.int64)])
-        place = np.searchsorted(np.sort(nodes[fresh]), node).astype(np.uint16) if len(node) else np.zeros(0, np.uint16)
-        known = np.sort(nodes[fresh])
-        b = ((sig >> np.uint64(BITS)) % np.uint64(buckets)).astype(np.int64)
-        sig = b.astype(np.uint64) << np.uint64(BITS) | sig & np.uint64((1 << BITS) - 1)  # in the order of buckets
-        order = np.argsort(sig)
-        sig, place = sig[order], place[order]
-        first = np.append(True, sig[1:] != sig[:-1])[: len(sig)]
-        several = ~first | np.append(~first[1:], False)[: len(sig)]
-        s, n = sig[first], place[first]
-        edges = np.searchsorted(s >> np.uint64(BITS), np.arange(buckets + 1).astype(np.uint64))
-        rows = []
-        for k, (x, y) in enumerate(zip(edges[:-1], edges[1:])):
-            for v in range(x, y, PACKET):
-                part = s[v : min(v + PACKET, y)]
-                here, spot = np.unique(n[v : min(v + PACKET, y)], return_inverse=True)
-                rows.append((k, 0, part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes(), spot.astype(np.uint16).tobytes(), known[here].tobytes()))
-        s, n = sig[several], known[place[several]]
-        rows += [(int(s[v] % np.uint64(buckets)), 1, s[v : v + PACKET].tobytes(), n[v : v + PACKET].tobytes(), None, None) for v in range(0, len(s), PACKET)]
-        size = np.array([len(x) for x in sets], np.int64)
-        k1, k2 = (rb.column(i).to_numpy() for i in (1, 2))
-        rows += [(int(k1[v] % buckets), 2, k1[v : v + PACKET].tobytes(), nodes[v : v + PACKET].tobytes(), k2[v : v + PACKET].tobytes(), size[v : v + PACKET].tobytes()) for v in range(0, len(k1), PACKET)]
-        return rows
-
     def sign(it):
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         for rb, sets in _batches(it, width):
-            rows = packets(rb, sets)
+            rows = packets(rb, sets, percent, shared.value, buckets)
             del rb, sets
-            for a in range(0, max(1, len(rows)), 64):
-                part = rows[a : a + 64]
+            for a in range(0, max(1, len(rows)), 16):
+                part = rows[a : a + 16]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(kinds)], names=["bucket", "kind", "c0", "c1", "c2", "c3"])
             del rows, part
             trim()
@@ -243,21 +272,9 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: Freque
 
     def gather(it):
         at, held = -1, []
-
-        def flush():
-            low, high = (np.concatenate([np.frombuffer(h[i], kind) for h in held]).astype(np.uint64) for i, kind in enumerate((np.uint32, np.uint8)))
-            sig = np.uint64(at << BITS) | high << np.uint64(32) | low
-            node = np.concatenate([np.frombuffer(h[3], np.int64)[np.frombuffer(h[2], np.uint16)] for h in held])
-            order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            fresh = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))
-            sig, node = sig[fresh], node[fresh]
-            same = np.append(False, sig[1:] == sig[:-1])
-            keep = same | np.append(same[1:], False)
-            return batch(sig[keep], node[keep])
-
         for rb in it:
-            for bucket, kind, *blobs in zip(*[c.to_pylist() for c in rb.columns]):
+            for i in range(rb.num_rows):
+                bucket, kind, *blobs = (c[i].as_py() for c in rb.columns)
                 if kind == 2:
                     k1, node, k2, n = (np.frombuffer(x, np.int64) for x in blobs)
                     yield batch(None, node, k1, k2, n)
@@ -265,12 +282,13 @@ def candidate_groups(docs: DataFrame, width: int, percent: int, frequent: Freque
                     yield batch(np.frombuffer(blobs[0], np.uint64), np.frombuffer(blobs[1], np.int64))
                 else:
                     if bucket != at and held:
-                        yield flush()
+                        yield from (batch(*x) for x in common(at, held))
                         held = []
+                        trim()
                     at = bucket
                     held.append(blobs)
         if held:
-            yield flush()
+            yield from (batch(*x) for x in common(at, held))
         held = []
         trim()
 
@@ -308,7 +326,7 @@ def links_of(df: DataFrame, *, text: str = "text", percent: int = 75, width: int
     Every two different sets whose Jaccard similarity is percent or more are linked directly or, in a large group of one
     signature, through sets that are: no component loses a link.
     """
-    with arrow_rows(df.sparkSession, BATCH):
+    with arrow_rows(df.sparkSession, BATCH, BATCH_BYTES):
         return _links_of(df, text, percent, width)
 
 

@@ -5,7 +5,11 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
+import types
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +136,58 @@ def test_jaccard_strays_meet_once(spark):
     assert records < 60000  # some 27000 signatures are shared
 
 
+def test_jaccard_signing_memory():
+    """A batch of texts is signed, and a bucket's signatures are sorted, in a few times the room of the signatures; what goes to Spark goes in small batches."""
+
+    class Plan:
+        """Stands for the session and the table: keeps the functions that would run on the executors."""
+
+        def __init__(self):
+            self.sparkSession = self.sparkContext = self
+            self.kept = []
+
+        def broadcast(self, value):
+            return types.SimpleNamespace(value=value)
+
+        def mapInArrow(self, f, schema):
+            self.kept.append(f)
+            return self
+
+        def repartition(self, *_):
+            return self
+
+        sortWithinPartitions = repartition
+
+    def peak(f, rows):
+        tracemalloc.start()
+        out = list(f(iter([rows])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    n = 1500
+    texts = [" ".join(f"{i - i % 2 * (k > 40)}x{k}" for k in range(500)) for i in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), *[pa.array(range(k, n + k), pa.int64()) for k in (0, n)]], names=["t", "k1", "k2"])
+    plan = Plan()
+    jaccard_join.candidate_groups(plan, 1, 75, jaccard_join.Frequent(np.zeros(0, np.uint64), np.zeros(0, np.int64)), 1)
+    sign, gather = plan.kept
+    sent, signing = peak(sign, rows)
+    assert max(b.nbytes for b in sent) < 10 << 20
+    sent = pa.Table.from_batches(sent).combine_chunks().to_batches()[0]
+    packed = sum(len(x) for x, kind in zip(sent.column(2).to_pylist(), sent.column(1).to_pylist()) if kind == 0) // 4
+    assert packed > 600_000
+    got, gathering = peak(gather, sent)
+    got = [r for b in got for r in b.to_pylist()]
+    groups = collections.defaultdict(set)
+    for r in got:
+        if r["sig"] is not None:
+            groups[r["sig"]].add(r["node"])
+    node = {r["k1"]: r["node"] for r in got if r["sig"] is None}
+    assert len(node) == n and all(len(g) > 1 for g in groups.values())
+    assert {frozenset(g) for g in groups.values()} >= {frozenset((node[i], node[i + 1])) for i in range(0, n, 2)}
+    assert signing < 60 * packed and gathering < 50 * packed, (signing / packed, gathering / packed)
+
+
 def test_signatures_guarantee():
     """Similar sets share a signature, as many as the bound says where no element is frequent; choices of partitions are what they sign with."""
     import numpy as np
