@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import Scratch, aliased, mix, others, pick, small, steps, text_key, trim, utf8
+from .common import Scratch, aliased, arrow_rows, mix, others, pick, small, steps, text_key, trim, utf8
 
 #: ASCII letters and digits stay (letters in lower case), as do bytes of other characters (folded before); all else parts words.
 _PLAIN = np.full(256, 32, np.uint8)
@@ -21,6 +21,8 @@ _PLAIN[48:58], _PLAIN[97:123], _PLAIN[128:] = np.arange(48, 58), np.arange(97, 1
 _PLAIN[65:91] = np.arange(97, 123)
 
 
+#: Texts, and bytes of them, that Python holds at a time where leaks are saved.
+BATCH, BATCH_BYTES = 2000, 8 << 20
 #: Characters from here on neither fold nor combine (beyond the last compatibility ideographs).
 _FOLDS = 0x30000
 
@@ -283,7 +285,7 @@ class GramIndex:
         return [(r, int(self.items[p]), int(self.numbers[p]), s, t, e) for (r, p), (e, s, t) in sorted(best.items())]
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", q: int = 8, rate: float = 0.08, piece: int = 100, shortest: int = 24, least: int = 16, block_bytes: int = 4 << 20) -> DataFrame:
+def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", item_id: str = "item_id", q: int = 8, rate: float = 0.08, piece: int = 100, shortest: int = 24, least: int = 16, block_bytes: int = 4 << 20, keys_alone: bool = False) -> DataFrame:
     """df with leaks: an array of (item_id, piece, start, stop, edits) for the benchmark pieces found in each whole text.
 
     Texts are compared as words parted by single spaces (other ASCII characters part words), case folded in all scripts and
@@ -300,7 +302,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
 
     Items are broadcast in blocks of about block_bytes. One block is searched on the way of the rows. Of several, each is a
     job of its own over the texts, that saves what it found by the texts' keys, and the rows meet it at the end: a task holds
-    one block's index at a time, however large the benchmark is.
+    one block's index at a time, however large the benchmark is. With keys_alone, the result is only the keys (__k1, __k2) of
+    the texts that have leaks, saved: Python then gets nothing but texts and keys, some megabytes at a time.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     it = pick(benchmark, item_text, "string")
@@ -336,10 +339,13 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
 
         return texts.select("__t", *carried).mapInArrow(run, StructType([*[texts.schema[c] for c in carried], StructField("leaks", ArrayType(hit))]))
 
-    if blocks == 1:
+    if blocks == 1 and not keys_alone:
         out = searched(rows, ["__row"], 0, False)
     else:
-        parts = [scratch.save(searched(rows, ["__k1", "__k2"], b, True), f"leaks-{b}") for b in range(blocks)]
+        with arrow_rows(spark, BATCH, BATCH_BYTES):
+            parts = [scratch.save(searched(rows, ["__k1", "__k2"], b, True), f"leaks-{b}") for b in range(blocks)]
+        if keys_alone:
+            return functools.reduce(DataFrame.unionByName, parts).select("__k1", "__k2").distinct()
         found = functools.reduce(DataFrame.unionByName, parts).select("__k1", "__k2", F.explode("leaks").alias("leak")).groupBy("__k1", "__k2").agg(F.collect_set("leak").alias("leaks"))
         found = scratch.save(found, "leaks")
         out = rows.join(small(found, scratch, "leaks"), ["__k1", "__k2"], "left").select("__row", F.coalesce("leaks", F.array().cast(ArrayType(hit))).alias("leaks"))
@@ -348,8 +354,14 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, *, text: str = "text", item_
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of df in which find_leaks finds nothing, with all their columns; null and empty texts stay, as do repeated rows."""
-    renamed, back = aliased(df, options.get("text", "text"))
-    return find_leaks(renamed, benchmark, **options).where(F.size("leaks") == 0).select(*back.values())
+    name, scratch = options.pop("text", "text"), Scratch(df.sparkSession)
+    if name not in df.columns:
+        return df
+    renamed, back = aliased(df)
+    text = f"__c{df.columns.index(name)}"
+    leaky = scratch.save(find_leaks(renamed, benchmark, text=text, **options, keys_alone=True), "leaky")
+    k1, k2 = text_key(pick(renamed, text, "string"))
+    return renamed.withColumns({"__k1": k1, "__k2": k2}).join(small(leaky, scratch, "leaky"), ["__k1", "__k2"], "left_anti").select(*back.values())
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -270,6 +270,17 @@ def test_leaks(spark, docs):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(TEXTS) + 1
 
 
+def test_decontaminate_keeps_rows_out_of_python(spark):
+    """Only texts and keys go to Python, to find what leaks; the rows that stay don't pass through it."""
+    item = " ".join(f"quiz{i} asks" for i in range(12))
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    rows = [(1, f"some {item} more"), (2, "clean text"), (2, "clean text"), (3, None), (4, ""), (5, f"some {item} more")]
+    for name in ("text", "__k1"):
+        got = decontaminate.decontaminate(spark.createDataFrame(rows, f"leaks long, {name} string"), bench, text=name)
+        assert "ArrowPython" not in (plan := got._jdf.queryExecution().toString()) and "MapInArrow" not in plan
+        assert got.columns == ["leaks", name] and sorted(map(tuple, got.collect()), key=str) == sorted(rows[1:5], key=str)
+
+
 def test_leaks_excerpts(spark):
     long, brief = " ".join(f"{w}q{i}" for i, w in enumerate(WORDS[:70])), " ".join(f"{w}z{i}" for i, w in enumerate(WORDS[100:118]))
     assert len(long) > 400 and 120 < len(brief) < 150
