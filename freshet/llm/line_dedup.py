@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, others, pick, small
+from .common import Scratch, arrow_rows, others, pick, small, trim
 
 MADE = ("text", "n_lines", "n_dropped")
+#: Texts whose lines Python holds at a time.
+BATCH = 1000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -90,10 +92,18 @@ class LineRuns:
         return out if out is not None else self.spark.createDataFrame([], "h1 long, h2 long")
 
 
+def _parts(it):
+    """The batches, cut to BATCH rows."""
+    for rb in it:
+        for a in range(0, max(1, len(rb)), BATCH):
+            yield rb.slice(a, BATCH)
+            trim()
+
+
 def _listing(batches: int, min_chars: int):
     def run(it):
         batch = TaskContext.get().partitionId() % batches
-        for rb in it:
+        for rb in _parts(it):
             h1, h2, t1, t2 = [], [], [], []
             for t, a, b in zip(rb.column(0), rb.column(1).to_pylist(), rb.column(2).to_pylist()):
                 keys = {k for k in map(line_key, (t.as_py() or "").encode().split(b"\n")) if k and (min_chars <= 1 or len(k.decode()) >= min_chars)}
@@ -105,7 +115,7 @@ def _listing(batches: int, min_chars: int):
 
 
 def _dropping(it):
-    for rb in it:
+    for rb in _parts(it):
         texts, drops, kept, lines, dropped = rb.column(0), rb.column(1), [], [], []
         for t, d in zip(texts, drops):
             rows = (t.as_py() or "").encode().split(b"\n")
@@ -132,7 +142,8 @@ def dedup_lines(df: DataFrame, *, text: str = "text", min_docs: int = 10, min_ch
     t = pick(df, text, "string")
     of_text = [F.xxhash64(F.coalesce(t, F.lit(""))), F.xxhash64(F.lit(1), F.coalesce(t, F.lit("")))]
     listed = df.select(t.alias("t"), of_text[0].alias("t1"), of_text[1].alias("t2")).mapInArrow(_listing(batches, min_chars), "batch int, h1 long, h2 long, t1 long, t2 long")
-    listed = scratch.save(listed, "lines", "batch")
+    with arrow_rows(spark, BATCH):
+        listed = scratch.save(listed, "lines", "batch")
     runs = LineRuns(spark, scratch, min_docs, fanout)
     for b in range(batches):
         runs.add(listed.where(F.col("batch") == b).select("h1", "h2"))

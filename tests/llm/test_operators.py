@@ -247,6 +247,17 @@ def test_lines(docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_in_small_batches():
+    """However many texts come at once, Python holds and sends the lines of some at a time; none are lost."""
+    texts = [f"a{i}\nsame\nb" if i % 7 else None for i in range(3500)]
+    x, y = line_dedup._hash(b"same")
+    drops = pa.array([[{"h1": x, "h2": y}] if t else None for t in texts], pa.list_(pa.struct([("h1", pa.int64()), ("h2", pa.int64())])))
+    rows = pa.RecordBatch.from_arrays([pa.array(texts), drops, pa.array(range(3500))], names=["__t", "__drop", "__row"])
+    got = list(line_dedup._dropping(iter([rows, rows.slice(0, 0)])))
+    assert max(len(b) for b in got) <= 1000
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [(i, f"a{i}\nb", 3, 1) if i % 7 else (i, "", 1, 0) for i in range(3500)]
+
+
 def test_mixing(docs):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(TEXTS) + 1
