@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import recursion, zset
+from ..operators import ranking, recursion, zset
 from ..sources.tables import shared_dir
 from . import maintenance
 
@@ -215,7 +215,7 @@ class Engine:
         """The view's rows as a bag."""
         t = self.tick if tick is None else tick
         frames = {name: zset.expand(self.integral(name, t)) for name in self.schemas}
-        return self._view(view, frames, self.clock if clock is None else clock)
+        return ranking.spread(self._view(view, frames, self.clock if clock is None else clock))
 
     def _texts(self, view: str) -> str:
         """The texts of the view and of all that were declared before it, which it may read."""
